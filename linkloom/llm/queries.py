@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import op01_divergence, op05_language
+from linkloom.llm import op01_divergence, op05_language, op06_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,9 +23,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_simhash.duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_divergence": op1_divergence,
     "op5_language": op5_language,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
