@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import op01_divergence, op05_language, op06_simhash
+from linkloom.llm import op01_divergence, op02_suffixes, op05_language, op06_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_suffixes.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_language.identify(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_divergence": op1_divergence,
+    "op2_suffixes": op2_suffixes,
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
 }

@@ -30,3 +30,12 @@ def kept(df: DataFrame) -> DataFrame:
 def place(spark: SparkSession) -> str:
     """A path of its own in the shared folder, for a table written there."""
     return f"{shared(spark).rstrip('/')}/linkloom-{uuid.uuid4().hex}"
+
+
+def width(df: DataFrame, per_mb: float) -> int:
+    """A number of partitions for ``df``: the session's, or more where the tables it reads, if their size is known, ask
+    for more than ``per_mb`` MB each."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return few if size > 1 << 60 else max(few, -(-size // int(per_mb * 1e6)))

@@ -98,7 +98,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[n
     return begins, ends, np.searchsorted(begins, offsets)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, n of each at least."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 20) + 1
         ups = np.full(size, _BASE)
@@ -123,7 +124,7 @@ def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray
     """64-bit hash of each span of ``data``, the same wherever it stands."""
     if len(begins) == 0:
         return np.zeros(0, np.uint64)
-    ups, downs = _power(len(data))
+    ups, downs = powers(len(data))
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * ups[: len(data)], out=sums[1:])
@@ -141,3 +142,9 @@ def runs(values: np.ndarray) -> np.ndarray:
     if len(values) == 0:
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+
+
+def ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0]+1, .. (sizes[0] of them), then those of begins[1], and so on."""
+    total = int(sizes.sum())
+    return np.arange(total) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
