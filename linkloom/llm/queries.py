@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import op01_divergence, op02_suffixes, op05_language, op06_simhash
+from linkloom.llm import op01_divergence, op02_suffixes, op05_language, op06_simhash, op10_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,11 +31,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_simhash.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_packing_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_packing.packed(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_divergence": op1_divergence,
     "op2_suffixes": op2_suffixes,
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
+    "op10_packing": op10_packing_,
 }
 
 ORACLE_SQL: dict[str, str] = {}
