@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import op01_divergence, op02_suffixes, op05_language, op06_simhash, op10_packing
+from linkloom.llm import op01_divergence, op02_suffixes, op05_language, op06_simhash, op07_bpe, op10_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_simhash.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_bpe.encoded(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_packing.packed(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Query] = {
     "op2_suffixes": op2_suffixes,
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
+    "op7_bpe": op7_bpe,
     "op10_packing": op10_packing_,
 }
 
