@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import op01_divergence, op02_suffixes, op05_language, op06_simhash, op07_bpe, op10_packing
+from linkloom.llm import op01_divergence, op02_suffixes, op05_language, op06_simhash, op07_bpe, op09_licenses, op10_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_bpe.encoded(_table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_packing.packed(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,8 @@ QUERIES: dict[str, Query] = {
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
+    "op9_licenses": op9_licenses,
     "op10_packing": op10_packing_,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_licenses": op09_licenses.sql()}
