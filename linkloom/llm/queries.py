@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import op01_divergence, op02_suffixes, op04_classifier, op05_language, op06_simhash, op07_bpe, op09_licenses, op10_packing
+from linkloom.llm import op01_divergence, op02_suffixes, op04_classifier, op05_language, op06_simhash, op07_bpe, op08_toxicity, op09_licenses, op10_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_bpe.encoded(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_toxicity.toxic(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_licenses": op9_licenses,
     "op10_packing": op10_packing_,
 }

@@ -120,17 +120,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of ``data``, the same wherever it stands."""
+def sums(data: np.ndarray) -> np.ndarray:
+    """What ``spans`` needs to hash any spans of ``data``."""
+    ups, _ = powers(len(data))
+    out = np.empty(len(data) + 1, np.uint64)
+    out[0] = 0
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * ups[: len(data)], out=out[1:])
+    return out
+
+
+def spans(sums: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span, the same wherever it stands."""
     if len(begins) == 0:
         return np.zeros(0, np.uint64)
-    ups, downs = powers(len(data))
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * ups[: len(data)], out=sums[1:])
+    _, downs = powers(len(sums))
     return mix((sums[ends] - sums[begins]) * downs[begins] + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of ``data``, the same wherever it stands."""
+    return spans(sums(data), begins, ends) if len(begins) else np.zeros(0, np.uint64)
+
+
 def hash_of(word: str | bytes) -> int:
     """The hash that ``hashes`` gives to ``word``."""
     raw = np.frombuffer(word.encode() if isinstance(word, str) else word, np.uint8)
