@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import op01_divergence, op02_suffixes, op04_classifier, op05_language, op06_simhash, op07_bpe, op08_toxicity, op09_licenses, op10_packing
+from linkloom.llm import op01_divergence, op02_suffixes, op03_audio, op04_classifier, op05_language, op06_simhash, op07_bpe, op08_toxicity, op09_licenses, op10_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,11 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_suffixes.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of each document taken as samples, since no table has sound."""
+    return op03_audio.audio(_table(spark, sf_dir, "documents"), "text")
+
+
 def op4_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_classifier.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -54,6 +59,7 @@ def op10_packing_(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_divergence": op1_divergence,
     "op2_suffixes": op2_suffixes,
+    "op3_audio": op3_audio,
     "op4_classifier": op4_classifier,
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
