@@ -142,7 +142,7 @@ def chain(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, start: float
     n = len(scores)
     blocks = -(-n // _BLOCK)
     heavy = np.exp(np.clip(np.append(scores, np.zeros(blocks * _BLOCK - n)), -50, 50)).reshape(blocks, _BLOCK)
-    fresh = np.append(first, np.zeros(blocks * _BLOCK - n, bool)).reshape(blocks, _BLOCK)
+    fresh = np.append(first, np.ones(blocks * _BLOCK - n, bool)).reshape(blocks, _BLOCK)  # nothing comes back from the padding
     m = np.exp(moves)
     # steps[i][j]: from state i before to state j at the word
     steps = [[np.where(fresh, 1.0, m[i, 0]), np.where(fresh, np.exp(start), m[i, 1]) * heavy] for i in range(2)]
