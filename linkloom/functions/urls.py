@@ -74,16 +74,16 @@ def join(base: Column, link: Column) -> Column:
     """``link`` as seen from the page ``base``: absolute, ``//host``, ``/path``, ``?query``, ``#fragment`` or relative (dots at
     its front are resolved)."""
     root = F.concat(scheme(base), F.lit("://"), netloc(base))
-    bare = F.concat(root, F.when(part(base, 3) == "", "/").otherwise(part(base, 3)))
-    folder = F.regexp_replace(bare, r"[^/]*$", "")
+    folder = F.regexp_replace(F.concat(root, F.when(part(base, 3) == "", "/").otherwise(part(base, 3))), r"[^/]*$", "")
     steps = F.regexp_replace(link, r"^(?:\./)+", "")
     up = F.regexp_replace(folder, r"[^/]+/$", "")
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link))
         .when(link.startswith("/"), F.concat(root, link))
-        .when(link.startswith("?"), F.concat(bare, link))
-        .when(link.startswith("#") | (link == ""), F.concat(F.regexp_replace(base, r"#.*$", ""), link))
+        .when(link == "", base)
+        .when(link.startswith("?"), F.concat(root, part(base, 3), link))
+        .when(link.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), link))
         .when(steps.startswith("../"), F.concat(F.when(F.length(up) > F.length(root), up).otherwise(F.concat(root, F.lit("/"))), F.regexp_replace(steps, r"^(?:\.\./)+", "")))
         .otherwise(F.concat(folder, steps))
     )

@@ -38,7 +38,8 @@ class Basic:
         return rows.withColumns({"score": self.score(), "schedule": F.lit(True), "state": F.lit(QUEUED)})
 
     def finished(self, queue: DataFrame) -> bool:
-        return queue.isEmpty()
+        """Whether the crawl is over; an empty queue alone doesn't end it, as results may still come."""
+        return False
 
 
 class BreadthFirst(Basic):
