@@ -166,3 +166,31 @@ def accepted(docs: DataFrame, rules: Rules = Rules(), found: dict | None = None)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def sql(rules: Rules = Rules()) -> str:
+    """DuckDB SQL for the rows of ``divergence`` over ``documents``."""
+    members = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r" \t\n\r\x0b\x0c", "stop": r".,;:''\"()\-", "other": r"\x00-\x08\x0e-\x1f\x7f", "beyond": r"\x{80}-\x{10FFFF}"}
+    count = {k: f"length(regexp_replace(text, '[^{v}]', '', 'g'))" for k, v in members.items()}
+    chars = ", ".join([*(count[k] for k in CLASSES if k in count and CLASSES.index(k) < 5), "length(text) - " + " - ".join(count.values()), count["other"], count["beyond"]])
+    common = ", ".join(f"('{lang}', {k}, '{w}')" for lang, own in rules.common.items() for k, w in enumerate(dict.fromkeys(own)))
+    sizes = ", ".join(f"('{lang}', {len(dict.fromkeys(own))})" for lang, own in rules.common.items())
+    js = "round(sqrt(greatest(0, sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2)), 6)"
+    return rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text from documents),
+common(lang, bin, word) as (values {common}), lists(lang, size) as (values {sizes}),
+c as (select r, doc_id, lang, cast(length(text) as bigint) as n, list_filter(regexp_split_to_array(text, '[ \t\n\r\x0b\x0c]+'), lambda x: x <> '') as ws, [{chars}] as counts from d),
+base as (select r, doc_id, lang, n, cast(len(ws) as bigint) as m from c),
+ch as (select r, lang, n, bin, v::double as v from (select r, lang, n, unnest(range(0, {len(CLASSES)})) as bin, unnest(counts) as v from c)),
+word as (select r, lang, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as word from (select r, lang, unnest(ws) as w from c)),
+hit as (select w.r, k.bin, count(*) as v from word w join common k on k.lang = w.lang and k.word = w.word group by 1, 2),
+bins as (select b.r, b.lang, b.m, unnest(range(0, l.size)) as bin from base b join lists l on l.lang = b.lang),
+part as (select x.r, x.lang, x.m, x.bin, coalesce(h.v, 0) as v from bins x left join hit h on h.r = x.r and h.bin = x.bin),
+wd as (select r, lang, m, bin, v::double as v from part union all select p.r, p.lang, p.m, l.size, (p.m - sum(p.v))::double from part p join lists l on l.lang = p.lang group by p.r, p.lang, p.m, l.size),
+cref as (select lang, bin, sum(v / n) / count(*) as q from ch where n >= {max(1, rules.min_chars)} group by lang, bin), wref as (select lang, bin, sum(v / m) / count(*) as q from wd where m >= {max(1, rules.min_words)} group by lang, bin),
+cjs as (select r, {js} as js from (select ch.r, ch.v / ch.n as p, cref.q from ch join cref using (lang, bin) where ch.n >= {max(1, rules.min_chars)}) group by r),
+wjs as (select r, {js} as js from (select wd.r, wd.v / wd.m as p, wref.q from wd join wref using (lang, bin) where wd.m >= {max(1, rules.min_words)}) group by r)
+select b.doc_id, b.n as chars, b.m as words, cjs.js as js_chars, wjs.js as js_words,
+not (coalesce(cjs.js, 0) > {rules.max_chars}::double or coalesce(wjs.js, 0) > {rules.max_words}::double + {rules.noise}::double / sqrt(greatest(1, b.m))) as keep
+from base b left join cjs on cjs.r = b.r left join wjs on wjs.r = b.r
+"""

@@ -40,9 +40,9 @@ class Rules:
     """min_words: length of a passage. bucket_mb: text aimed at for a bucket. sample: suffixes sampled for each bucket."""
 
     min_words: int = 50
-    bucket_mb: int = 12
+    bucket_mb: int = 8
     sample: int = 64
-    flush: int = 1 << 24
+    flush: int = 1 << 23
 
     @property
     def reach(self) -> int:  # an anchor is one of the first so many words of its passage
@@ -435,3 +435,16 @@ def deduplicated(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 yield batch.select(list(range(len(names))))
 
     return joined.mapInArrow(run, schema)
+
+
+def sql(rules: Rules = Rules()) -> str:
+    """DuckDB SQL for the rows of ``repeats`` over ``documents`` (of distinct doc_id): all passages, grouped."""
+    n = rules.min_words
+    return rf"""
+with w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\x0b\x0c]+'), lambda x: x <> '') as ws from documents),
+g as (select doc_id, s, md5(array_to_string(ws[s + 1 : s + {n}], ' ')) as h from w, unnest(range(0, len(ws) - {n} + 1)) as t(s)),
+r as (select doc_id, s, row_number() over (partition by h order by doc_id, s) = 1 as original, count(*) over (partition by h) as n from g),
+f as (select doc_id, s, original, case when s < max(s + {n}) over (partition by doc_id, original order by s rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from r where n > 1),
+i as (select doc_id, s, original, sum(fresh) over (partition by doc_id, original order by s) as island from f)
+select doc_id, cast(min(s) as integer) as begin_word, cast(max(s) + {n} as integer) as end_word, cast(max(s) + {n} - min(s) as integer) as words, original from i group by doc_id, original, island
+"""

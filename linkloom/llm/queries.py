@@ -69,4 +69,8 @@ QUERIES: dict[str, Query] = {
     "op10_packing": op10_packing_,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_licenses": op09_licenses.sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_divergence": op01_divergence.sql(),
+    "op2_suffixes": op02_suffixes.sql(),
+    "op9_licenses": op09_licenses.sql(),
+}
