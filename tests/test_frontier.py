@@ -43,10 +43,10 @@ def test_first_and_last_wins_and_upsert(spark):
 
 
 def test_enrichment_and_redirects(spark):
-    rows = frame(spark, [("http://scrapinghub.com/", "f2", ["http://www.scrapinghub.com/"], ["f1"]), ("http://a.com", "f3", [], []), ("http://b.com", "f4", None, None)], "url string, fingerprint string, redirect_urls array<string>, redirect_fingerprints array<string>")
-    assert collected(enrich.basic_canonical(rows), "url", "fingerprint") == [("http://a.com", "f3"), ("http://b.com", "f4"), ("http://www.scrapinghub.com/", "f1")]
-    assert [r.redirect_urls for r in enrich.basic_canonical(rows).where("fingerprint = 'f1'").collect()] == [["http://www.scrapinghub.com/", "http://scrapinghub.com/"]]
-    cases = [("http://www.yandex.ru/company/", "http://google.com/404", 0), ("http://www.yandex.ru", "http://google.com", 1), ("http://www.yandex.ru", "http://www.yandex.ru/search", 1)]
+    rows = frame(spark, [("http://first.com/", "f2", ["http://www.first.com/"], ["f1"]), ("http://a.com", "f3", [], []), ("http://b.com", "f4", None, None)], "url string, fingerprint string, redirect_urls array<string>, redirect_fingerprints array<string>")
+    assert collected(enrich.basic_canonical(rows), "url", "fingerprint") == [("http://a.com", "f3"), ("http://b.com", "f4"), ("http://www.first.com/", "f1")]
+    assert [r.redirect_urls for r in enrich.basic_canonical(rows).where("fingerprint = 'f1'").collect()] == [["http://www.first.com/", "http://first.com/"]]
+    cases = [("http://www.first.org/company/", "http://second.com/404", 0), ("http://www.first.org", "http://second.com", 1), ("http://www.first.org/x", "http://www.first.org/search", 1)]
     moved = frame(spark, [(b, "t", [a], ["s"]) for a, b, _ in cases], rows.schema.simpleString()[7:-1].replace(":", " "))
     assert collected(enrich.corporate_canonical(moved), "url") == sorted((c[c[2]],) for c in cases)
     events = frame(spark, [(1, ["u1", "u2"], ["f1", "f2"])], "seq long, redirect_urls array<string>, redirect_fingerprints array<string>")
