@@ -40,12 +40,6 @@ _MIT_AS_IS = (
     'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose '
     "and noninfringement"
 )
-_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
-_BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"
-_BSD_BINARY = (
-    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
-    "with the distribution"
-)
 _APACHE = "Licensed under the Apache License, Version 2.0"
 _APACHE_USE = "You may not use this file except in compliance with the License"
 _APACHE_COPY = "You may obtain a copy of the License at"
@@ -68,13 +62,13 @@ class Rule:
 RULES = (
     Rule("MIT", "mit-text", (_MIT_GRANT, _MIT_NOTICE, _MIT_AS_IS)),
     Rule("MIT", "mit-grant", (_MIT_GRANT, _MIT_NOTICE)),
-    Rule("BSD-2-Clause", "bsd-2-text", (_BSD_GRANT, _BSD_SOURCE, _BSD_BINARY)),
     Rule("Apache-2.0", "apache-header", (_APACHE, _APACHE_USE, _APACHE_COPY)),
     Rule("GPL-3.0-or-later", "gpl-3-notice", (_GPL_FREE, _GPL_TERMS)),
     Rule("Apache-2.0", "apache-line", (_APACHE,)),
     Rule("Apache-2.0", "apache-header-long", ('Licensed under the Apache License, Version 2.0 (the "License")',)),
     Rule("MIT", "mit-line", ("Released under the MIT License",)),
     Rule("MIT", "mit-licensed", ("Licensed under the MIT License",)),
+    Rule("BSD-3-Clause", "bsd-3-line", ("Licensed under the BSD 3-Clause License",)),
     Rule("GPL-3.0-only", "gpl-3-line", ("This work is licensed under the GNU General Public License, version 3",)),
     Rule("CC-BY-NC-4.0", "cc-by-nc-line", ("Licensed under CC BY-NC 4.0",)),
     Rule("CC-BY-4.0", "cc-by-line", ("Licensed under CC BY 4.0",)),
