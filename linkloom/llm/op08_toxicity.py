@@ -80,25 +80,27 @@ def _words(piece: tx.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, Iterato
 
 def lexicon(texts: list[str], toxic: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
     """Codes that are significantly more frequent among toxic documents, in order, and their log-ratios."""
-    by_kind: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(1 + len(_BEGINNINGS))]
+    n1, n0 = toxic.sum(), (~toxic).sum()
+    share = n1 / (n1 + n0)
+    by_kind: list[list[tuple]] = [[] for _ in range(1 + len(_BEGINNINGS))]
     for piece in tx.slices(pa.array(texts, pa.string())):
-        _, _, where, codes = _words(piece)
-        for k, (own, code) in enumerate(codes):
+        _, _, where, codes_of = _words(piece)
+        for k, (own, code) in enumerate(codes_of):
             doc = np.searchsorted(where, own, "right") - 1
             order = np.lexsort((doc, code))
             doc, code = doc[order], code[order]
             fresh = np.ones(len(code), bool)
             fresh[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
-            by_kind[k].append((code[fresh], toxic[piece.first + doc[fresh]]))
-    n1, n0 = toxic.sum(), (~toxic).sum()
+            bad = toxic[piece.first + doc[fresh]]
+            code = code[fresh]
+            at = tx.runs(code)  # documents of each kind by code
+            by_kind[k].append((code[at], np.add.reduceat(bad, at, dtype=np.int64) if len(at) else at, np.diff(np.append(at, len(code)))))
     codes, ratios = [], []
     for found in by_kind:
-        code = np.concatenate([x[0] for x in found])
-        bad = np.concatenate([x[1] for x in found])
-        names, at = np.unique(code, return_inverse=True)
-        t = np.bincount(at, bad, len(names))
-        c = np.bincount(at, ~bad, len(names))
-        share = n1 / (n1 + n0)
+        names, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+        t = np.bincount(at, np.concatenate([x[1] for x in found]), len(names))
+        c = np.bincount(at, np.concatenate([x[2] for x in found]), len(names)) - t
+        found.clear()
         with np.errstate(divide="ignore", invalid="ignore"):
             g = 2 * (np.where(t > 0, t * np.log(t / ((t + c) * share)), 0) + np.where(c > 0, c * np.log(c / ((t + c) * (1 - share))), 0))
         ratio = np.log((t + 0.5) / (n1 + 1)) - np.log((c + 0.5) / (n0 + 1))
@@ -191,29 +193,38 @@ def marginals(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, start: f
     return both[:, 1] / both.sum(axis=1)
 
 
-def train(bins: np.ndarray, before: np.ndarray, after: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Weights that maximise the likelihood of the labels ``y`` (with a small ridge), by gradients with adaptive steps."""
+def train(parts: list[tuple], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Weights that maximise the likelihood of the labels (with a small ridge), by gradients with adaptive steps. ``parts``:
+    of each slice the bins of words and their neighbours, which are first of a document, and the labels."""
     size = len(_BINS) + 1
     w = np.zeros(3 * size + 5)
     w[:size] = np.arange(size) - 2.0
     step, past = np.full(len(w), 0.5), np.zeros(len(w))
 
-    def sums(p: np.ndarray, pairs: np.ndarray, head: float) -> np.ndarray:
+    def sums(bins, before, after, p: np.ndarray, pairs: np.ndarray, head: float) -> np.ndarray:
         return np.concatenate([np.bincount(b, p, size) for b in (bins, before, after)] + [pairs.ravel(), [head]])
 
-    inner = np.flatnonzero(~first)
-    inner = inner[inner > 0]
-    ways = np.bincount(2 * y[inner - 1] + y[inner], minlength=4).reshape(2, 2)
-    seen = sums(y.astype(float), ways, float(y[first].sum()))
-    for _ in range(rounds):
+    def within(first: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(~first)[np.flatnonzero(~first) > 0]
+
+    def seen(bins, before, after, first, y) -> np.ndarray:
+        at = within(first)
+        return sums(bins, before, after, y.astype(float), np.bincount(2 * y[at - 1] + y[at], minlength=4).reshape(2, 2), float(y[first].sum()))
+
+    def expected(bins, before, after, first, _) -> np.ndarray:
         scores = w[:size][bins] + w[size : 2 * size][before] + w[2 * size : 3 * size][after]
-        moves, start = w[3 * size : 3 * size + 4].reshape(2, 2), w[-1]
+        moves, start, at = w[3 * size : 3 * size + 4].reshape(2, 2), w[-1], within(first)
         ahead, back = chain(scores, first, moves, start)
         both = ahead * back
         p = both[:, 1] / both.sum(axis=1)
-        flow = ahead[inner - 1][:, :, None] * np.exp(moves)[None] * (back[inner] * np.stack([np.ones(len(inner)), np.exp(np.clip(scores[inner], -50, 50))], axis=1))[:, None, :]
+        flow = ahead[at - 1][:, :, None] * np.exp(moves)[None] * (back[at] * np.stack([np.ones(len(at)), np.exp(np.clip(scores[at], -50, 50))], axis=1))[:, None, :]
         flow /= flow.sum(axis=(1, 2), keepdims=True)
-        gradient = seen - sums(p, flow.sum(axis=0), float(p[first].sum())) - 1e-2 * w
+        return sums(bins, before, after, p, flow.sum(axis=0), float(p[first].sum()))
+
+    parts = [x for x in parts if len(x[0])]
+    target = sum((seen(*x) for x in parts), np.zeros(len(w)))
+    for _ in range(rounds):
+        gradient = target - sum((expected(*x) for x in parts), np.zeros(len(w))) - 1e-2 * w
         turn = np.sign(gradient * past)
         step = np.clip(np.where(turn > 0, step * 1.2, np.where(turn < 0, step * 0.5, step)), 1e-4, 1.0)
         past = np.where(turn < 0, 0, gradient)
@@ -243,18 +254,19 @@ def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model | N
         return None
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     codes, ratios = lexicon(rows["text"].tolist(), toxic, rules)
-    parts, docs_of = [], []
+    parts, sides = [], []
     for piece in tx.slices(pa.array(rows["text"].tolist(), pa.string())):
-        _, _, where, *own = _observed(piece, codes, ratios)
-        parts.append(own)
-        docs_of.append(piece.first + np.repeat(np.arange(piece.count), np.diff(where)))
-    bins, before, after, first = (np.concatenate([x[k] for x in parts]) for k in range(4))
-    doc = np.concatenate(docs_of)
-    y = (toxic[doc] & (bins > 0)).astype(np.int64)
-    weights = train(bins, before, after, first, y, rules.rounds)
+        _, _, where, bins, *rest = _observed(piece, codes, ratios)
+        side = np.repeat(toxic[piece.first : piece.first + piece.count], np.diff(where))
+        parts.append((bins.astype(np.int8), *(x.astype(np.int8) for x in rest[:2]), rest[2], (side & (bins > 0)).astype(np.int8)))
+        sides.append(side)
+    weights = train(parts, rules.rounds)
     own = Model(codes, ratios, *weights, (1.0, 1.0), 0.0)
-    p = _tagged(bins, before, after, first, own)
-    rates = tuple(float((p[toxic[doc] == side].sum() + 0.5) / ((toxic[doc] == side).sum() + 1)) for side in (True, False))
+    mass, words = np.zeros(2), np.zeros(2)
+    for (*observed, _), side in zip(parts, sides):
+        mass += np.bincount(side, _tagged(*observed, own), 2)
+        words += np.bincount(side, minlength=2)
+    rates = (float((mass[1] + 0.5) / (words[1] + 1)), float((mass[0] + 0.5) / (words[0] + 1)))
     return Model(codes, ratios, *weights, rates, float(np.log(counts[True] / counts[False])))
 
 
