@@ -104,3 +104,17 @@ def test_language_edges(spark):
     assert op5.identify(empty_docs(spark)).count() == 0 and op5.accepted(empty_docs(spark)).count() == 0
     unlabelled = docs.drop("lang").selectExpr("*", "cast(null as string) lang")
     assert all(r.keep and r.language == "und" for r in op5.identify(unlabelled).collect())
+
+
+def test_divergence_against_sql(spark):
+    import duckdb
+
+    docs = edge_docs(spark).select("doc_id", "text", "lang").where("doc_id is not null").dropDuplicates(["doc_id"])
+    more = spark.createDataFrame([(1000 + k, prose(k, 50 + 7 * k, lang), lang) for k in range(12) for lang in ("en", "de", "fr")], "doc_id long, text string, lang string")
+    docs = docs.unionByName(more).toPandas()
+    db = duckdb.connect()
+    table = pa.Table.from_pandas(docs)
+    db.register("documents", table)
+    plain = lambda rows: sorted(([None if x != x else x for x in r] for r in rows), key=str)
+    got = op1.divergence(spark.createDataFrame(docs.astype(object).where(docs.notna(), None), "doc_id long, text string, lang string")).collect()
+    assert plain(got) == plain(db.execute(op1.sql()).fetchall())

@@ -110,3 +110,14 @@ def test_edges(spark):
     assert kept.schema == docs.schema
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in edge_rows() if r[0] != 8)
     assert op.repeats(empty_docs(spark)).count() == 0 and op.deduplicated(empty_docs(spark)).count() == 0
+
+
+def test_repeats_against_sql(spark):
+    import duckdb
+
+    docs = spark.createDataFrame(corpus(9) + [(300, None), (301, ""), (302, " \n ")], "doc_id long, text string")
+    db = duckdb.connect()
+    table = docs.toArrow()
+    db.register("documents", table)
+    rules = op.Rules(min_words=20)
+    assert sorted(tuple(r) for r in op.repeats(docs, rules).collect()) == sorted(db.execute(op.sql(rules)).fetchall())
