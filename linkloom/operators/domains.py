@@ -40,7 +40,8 @@ def sampled(rows: DataFrame, limit: Column | int, by: str, key: str, seed: int =
 def within_budget(rows: DataFrame, max_pages: int, seed: int = 0, rank: str = "class_rank", key: str = "fingerprint") -> DataFrame:
     """Rows (domain, queued_pages, rank, key) that still fit their domain's budget: taken by rank, at random within one."""
     turn = F.row_number().over(Window.partitionBy("domain").orderBy(rank, shuffled(F.col(key), seed), key))
-    return rows.withColumn("_turn", turn).where(F.col("_turn") + F.col("queued_pages") <= max_pages).drop("_turn")
+    ranked = rows.withColumn("_turn", turn).where(F.col("_turn") <= max_pages)  # Spark plans this one as a top-k of each domain
+    return ranked.where(F.col("_turn") + F.col("queued_pages") <= max_pages).drop("_turn")
 
 
 def queued(rows: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.operators.order import numbered
 from linkloom.sources.store import kept
 
 
@@ -25,8 +26,8 @@ def site(spark: SparkSession, prefix: str, depth: int, fan_out: int, self_links:
 def pages(rows: DataFrame) -> DataFrame:
     """Pages of rows (url, status, n_redirects, is_seed, seq): one per URL, as first seen, numbered in that order."""
     first = rows.groupBy("url").agg(F.min_by(F.struct("status", "n_redirects", "is_seed", "seq"), "seq").alias("p"))
-    # One ranking over all pages: ids count from 1. It sorts (seq, url) pairs only.
-    return first.select(F.row_number().over(Window.orderBy("p.seq", "url")).cast("bigint").alias("id"), "url", "p.status", "p.n_redirects", "p.is_seed")
+    rows = first.select("url", "p.status", "p.n_redirects", "p.is_seed", "p.seq")
+    return numbered(rows, "seq", "url").select("id", "url", "status", "n_redirects", "is_seed")
 
 
 def edges(links: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -65,6 +65,9 @@ def next_batch(
         rows = rows.withColumn("_turn", F.row_number().over(of_host)).where(F.col("_turn") <= max_per_host + int(inclusive_cap)).drop("_turn")
     if min_hosts <= 1:
         return rows.withColumn("place", F.row_number().over(of_partition)).where(F.col("place") <= max_n)
+    if max_per_host is not None:  # so many rows hold min_hosts hosts, if there are that many: a top-k before the shuffle
+        most = max(max_n, min_hosts * (max_per_host + int(inclusive_cap)))
+        rows = rows.withColumn("place", F.row_number().over(of_partition)).where(F.col("place") <= most)
     rows = rows.withColumn("_turn", F.row_number().over(of_host))
     before = F.coalesce(F.sum((F.col("_turn") == 1).cast("int")).over(of_partition.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumns({"place": F.row_number().over(of_partition), "_hosts": before})

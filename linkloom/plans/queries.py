@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import hashing, scoring, urls
-from linkloom.operators import domains, enrich, graph, metadata, overused, queue, states, stats
+from linkloom.operators import domains, enrich, graph, metadata, order, overused, queue, states, stats
 from linkloom.plans import strategies
 from linkloom.sources import events as log
 from linkloom.sources import seeds, sitemap
@@ -242,9 +242,9 @@ def schedule_not_crawled(spark, sf_dir):
     return queue.scheduled(rows, 4).select("page_id", "host", "partition_id", "host_crc32")
 
 
-def _dequeue(order: str, where: str = "true", cap: int | None = None, top: int = 200) -> str:
-    capped = f"select * from q where {where}" if cap is None else f"select * exclude (turn) from (select *, row_number() over (partition by partition_id, host order by {order}) as turn from q where {where}) where turn <= {cap}"
-    return f"with {_QUEUE}, c as ({capped}) select id, partition_id, host, place from (select *, cast(row_number() over (partition by partition_id order by {order}) as integer) as place from c) where place <= {top}"
+def _dequeue(keys: str, where: str = "true", cap: int | None = None, top: int = 200) -> str:
+    capped = f"select * from q where {where}" if cap is None else f"select * exclude (turn) from (select *, row_number() over (partition by partition_id, host order by {keys}) as turn from q where {where}) where turn <= {cap}"
+    return f"with {_QUEUE}, c as ({capped}) select id, partition_id, host, place from (select *, cast(row_number() over (partition by partition_id order by {keys}) as integer) as place from c) where place <= {top}"
 
 
 _OUT = ("id", "partition_id", "host", "place")
@@ -307,6 +307,17 @@ def dequeue_min_hosts(spark, sf_dir):
     return queue.next_batch(_queue(spark, sf_dir), 20, min_hosts=40).select(*_OUT)
 
 
+@query(f"""with {_QUEUE}, u as (select *, row_number() over (partition by partition_id, host order by {_DESC}) as turn from q), c as (select * from u where turn <= 2), h as (select *, cast(row_number() over (partition by partition_id order by {_DESC}) as integer) as place,
+coalesce(sum((turn = 1)::int) over (partition by partition_id order by {_DESC} rows between unbounded preceding and 1 preceding), 0) as hosts from c) select id, partition_id, host, place from h where place <= 20 or hosts < 40""")
+def dequeue_min_hosts_capped(spark, sf_dir):
+    return queue.next_batch(_queue(spark, sf_dir), 20, min_hosts=40, max_per_host=2).select(*_OUT)
+
+
+@query("select event_id, user_id, row_number() over (order by user_id, event_id) as n from events")
+def numbered_rows(spark, sf_dir):
+    return order.numbered(_t(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id", name="n")
+
+
 @query(f"""with {_QUEUE}, r as (select *, row_number() over (partition by partition_id order by {_DESC}) as scan from q), t as (select *, row_number() over (partition by partition_id, host order by {_DESC}) as turn from r where scan <= 1210),
 c as (select * from t where turn <= 2), z as (select partition_id, least(sum((scan <= 40)::int), 40) as n0, sum((scan <= 40 and turn = 1)::int) as h0, least(sum((scan <= 220)::int), 40) as n1, sum((scan <= 220 and turn = 1)::int) as h1 from c group by partition_id),
 k as (select c.*, cast(row_number() over (partition by c.partition_id order by {_DESC}) as integer) as place from c join z using (partition_id) where scan <= case when n0 >= 40 and h0 >= 30 then 40 when n1 >= 40 and h1 >= 30 then 220 else 1210 end)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.operators import enrich, metadata, queue, states
+from linkloom.operators import enrich, metadata, order, queue, states
 from linkloom.plans.settings import Settings
 from linkloom.plans.strategies import Basic
 from linkloom.schema import CRAWLED, ERROR, QUEUED
@@ -77,7 +77,7 @@ class FrontierSession:
         """Rows of url (and seq, else in the order of url) that aren't known yet are scheduled."""
         self._running()
         if "seq" not in seeds.columns:
-            seeds = seeds.withColumn("seq", F.row_number().over(Window.orderBy("url")))
+            seeds = order.numbered(seeds, "url", name="seq")
         rows = self._numbered(self._requests(seeds))
         fresh = kept(self.strategy.seeds(states.not_crawled(states.first_wins(rows), self.store.read("states"))))
         self._commit(fresh, metadata.seeds(fresh).select("fingerprint", "url", "depth", "score", "seq"), fresh.select("fingerprint", F.lit(QUEUED).alias("state"), "seq"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom import schema
-from linkloom.operators import domains, enrich, graph, metadata, states, stats
+from linkloom.operators import domains, enrich, graph, metadata, order, states, stats
 from linkloom.plans import simulate, strategies
 from linkloom.plans.session import FrontierSession
 from linkloom.plans.settings import Settings
@@ -231,6 +231,12 @@ def test_graph(spark):
     assert collected(graph.degrees(frame(spark, [("a", "b"), ("a", "b"), ("c", "b")], "parent string, child string")), "*") == [("a", 1, 0), ("b", 0, 2), ("c", 1, 0)]
 
 
+def test_row_numbers(spark):
+    rows = frame(spark, [((k * 7919) % 1000, str(k)) for k in range(1000)], "a int, b string").repartition(7)
+    assert [r.n for r in order.numbered(rows, "a", name="n").orderBy("a").collect()] == list(range(1, 1001))
+    assert order.numbered(rows.limit(0), "a").count() == 0
+
+
 def tree(depth, own=False):
     out, level = [], ["1"]
     for _ in range(depth - 1):
@@ -245,9 +251,9 @@ LATE_FIRST = {1: "1 12 122 1222 1221 121 1212 1211 11 112 1122 1121 111 1112 111
 DEEP_FIRST = {1: "1 11 111 1111 1112 112 1121 1122 12 121 1211 1212 122 1221 1222"}
 
 
-@pytest.mark.parametrize("strategy,order,n,want", [("basic", "fifo", 10, ORDER), ("breadth_first", "score_desc", 5, ORDER), ("basic", "lifo", 2, LATE_FIRST[2]), ("basic", "lifo", 1, LATE_FIRST[1]), ("depth_first", "score_desc", 1, DEEP_FIRST[1])])
-def test_crawl_orders(spark, strategy, order, n, want):
-    assert simulate.run(spark, tree(4), ["1"], strategy=strategy, order=order, max_next=n) == want.split()
+@pytest.mark.parametrize("strategy,by,n,want", [("basic", "fifo", 10, ORDER), ("breadth_first", "score_desc", 5, ORDER), ("basic", "lifo", 2, LATE_FIRST[2]), ("basic", "lifo", 1, LATE_FIRST[1]), ("depth_first", "score_desc", 1, DEEP_FIRST[1])])
+def test_crawl_orders(spark, strategy, by, n, want):
+    assert simulate.run(spark, tree(4), ["1"], strategy=strategy, order=by, max_next=n) == want.split()
 
 
 def test_crawl_with_a_rate_and_loops(spark):
