@@ -9,8 +9,8 @@ Words are runs without white space, in lower case (ASCII). Languages without a l
 language is null (taken as one language of their own), are judged by characters alone.
 
 Defined results: a null text counts as empty; an empty or short text has null distances and is kept. Repeated rows are
-judged each on its own, and each counts for the reference. If no document of a language is long enough, its distances are
-null and its documents are kept. Extra columns are ignored by ``divergence`` and passed through by ``accepted``.
+judged each on its own, and each counts for the reference. If fewer than least_docs documents of a language are long
+enough, its distances are null and its documents are kept. Extra columns are ignored by ``divergence`` and passed through by ``accepted``.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ _KIND[0xC0:] = 7
 @dataclass(frozen=True)
 class Rules:
     """min_chars, min_words: lengths below which a histogram is no evidence. max_chars: ceiling of the distance of characters.
-    max_words + noise / sqrt(words): that of words, whose histogram is noisy in a short text. common: words by language."""
+    max_words + noise / sqrt(words): that of words, whose histogram is noisy in a short text. common: words by language.
+    least_docs: documents that a reference needs."""
 
     min_chars: int = 200
     min_words: int = 60
@@ -53,6 +54,7 @@ class Rules:
     max_words: float = 0.22
     noise: float = 1.4
     common: dict = field(default_factory=lambda: COMMON)
+    least_docs: int = 10
 
 
 def _words(rules: Rules) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -97,6 +99,13 @@ def counts(langs: list, texts: pa.Array, rules: Rules) -> Iterator[tuple[str, in
 def _sum(rules: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple[str, str], list] = {}
+
+        def summed() -> pa.RecordBatch:
+            rows = [(lang, what, k, float(v), x[0]) for (lang, what), x in totals.items() for k, v in enumerate(x[1])]
+            totals.clear()
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["lang", "what", "bin", "total", "docs"])
+
         for batch in batches:
             for lang, n, chars, m, words in counts(batch.column(0).to_pylist(), batch.column(1), rules):
                 for what, size, least, own in (("chars", n, rules.min_chars, chars), ("words", m, rules.min_words, words)):
@@ -104,8 +113,9 @@ def _sum(rules: Rules):
                         x = totals.setdefault((lang, what), [0, np.zeros(len(own))])
                         x[0] += 1
                         x[1] += own / size
-        rows = [(lang, what, k, float(v), x[0]) for (lang, what), x in totals.items() for k, v in enumerate(x[1])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int64()))], ["lang", "what", "bin", "total", "docs"])
+            if len(totals) > 10_000:
+                yield summed()
+        yield summed()
 
     return run
 
@@ -115,7 +125,8 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> dict[tuple[str, str],
     rows = (
         docs.select(F.col("lang").cast("string"), F.col("text").cast("string"))
         .mapInArrow(_sum(rules), "lang string, what string, bin int, total double, docs long")
-        .groupBy("lang", "what", "bin").agg((F.sum("total") / F.sum("docs")).alias("mean"))
+        .groupBy("lang", "what", "bin").agg((F.sum("total") / F.sum("docs")).alias("mean"), F.sum("docs").alias("docs"))
+        .where(F.col("docs") >= rules.least_docs)  # values of lang that aren't languages don't reach the driver
         .orderBy("lang", "what", "bin").collect()
     )
     found: dict[tuple[str, str], list] = {}
@@ -187,7 +198,7 @@ hit as (select w.r, k.bin, count(*) as v from word w join common k on k.lang = w
 bins as (select b.r, b.lang, b.m, unnest(range(0, l.size)) as bin from base b join lists l on l.lang = b.lang),
 part as (select x.r, x.lang, x.m, x.bin, coalesce(h.v, 0) as v from bins x left join hit h on h.r = x.r and h.bin = x.bin),
 wd as (select r, lang, m, bin, v::double as v from part union all select p.r, p.lang, p.m, l.size, (p.m - sum(p.v))::double from part p join lists l on l.lang = p.lang group by p.r, p.lang, p.m, l.size),
-cref as (select lang, bin, sum(v / n) / count(*) as q from ch where n >= {max(1, rules.min_chars)} group by lang, bin), wref as (select lang, bin, sum(v / m) / count(*) as q from wd where m >= {max(1, rules.min_words)} group by lang, bin),
+cref as (select lang, bin, sum(v / n) / count(*) as q from ch where n >= {max(1, rules.min_chars)} group by lang, bin having count(*) >= {rules.least_docs}), wref as (select lang, bin, sum(v / m) / count(*) as q from wd where m >= {max(1, rules.min_words)} group by lang, bin having count(*) >= {rules.least_docs}),
 cjs as (select r, {js} as js from (select ch.r, ch.v / ch.n as p, cref.q from ch join cref using (lang, bin) where ch.n >= {max(1, rules.min_chars)}) group by r),
 wjs as (select r, {js} as js from (select wd.r, wd.v / wd.m as p, wref.q from wd join wref using (lang, bin) where wd.m >= {max(1, rules.min_words)}) group by r)
 select b.doc_id, b.n as chars, b.m as words, cjs.js as js_chars, wjs.js as js_words,

@@ -7,7 +7,7 @@ model, ``und``, competes with the languages and takes what none of them explains
 
 Defined results: a null, empty or letterless text has languages ``['und']``, no grams and is not kept; a text with letters
 but no trigram is ``und`` too, and kept, being too short to judge. A null ``lang`` counts for no model and never conflicts. Ties go to the language that sorts first. Repeated rows are scored each on its
-own. Without any labelled document all texts are ``und`` but kept, since there is no model to reject them. Extra columns
+own. A language of too few trigrams has no model and never conflicts. Without any labelled document all texts are ``und`` but kept, since there is no model to reject them. Extra columns
 are ignored by ``identify`` and passed through untouched by ``accepted``.
 """
 
@@ -33,11 +33,12 @@ _LETTER[48:58] = False
 @dataclass(frozen=True)
 class Rules:
     """penalty: nats per added language and per log of the trigram count (trigrams overlap, hence more than the 0.5 of
-    BIC). smooth: pseudo-counts per bucket. declared_floor: a document of at least declared_grams trigrams whose declared
+    BIC). smooth: pseudo-counts per bucket. least_grams: trigrams that a language's model needs. declared_floor: a document of at least declared_grams trigrams whose declared
     language has a lower proportion is rejected. und_ceiling: rejected if ``und`` has a higher proportion."""
 
     penalty: float = 1.5
     smooth: float = 0.05
+    least_grams: int = 1000
     steps: int = 15
     declared_floor: float = 0.1
     declared_grams: int = 200
@@ -65,6 +66,13 @@ def grams(piece: tx.Slice) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for name, counts in totals.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at])], ["lang", "bucket", "n"])
+        totals.clear()
+
     for batch in batches:
         names = batch.column(0).to_pylist()
         for piece in tx.slices(batch.column(1)):
@@ -73,11 +81,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 name = names[piece.first + k]
                 if name is not None and where[k + 1] > where[k]:
                     if name not in totals:
+                        if len(totals) == 64:  # more than a task holds: the sums are added up later anyway
+                            yield from counted()
                         totals[name] = np.zeros(1 << BITS, np.int64)
                     totals[name] += np.bincount(found[where[k] : where[k + 1]], minlength=1 << BITS)
-    for name, counts in totals.items():
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at])], ["lang", "bucket", "n"])
+    yield from counted()
 
 
 @dataclass(frozen=True)
@@ -92,12 +100,13 @@ def train(docs: DataFrame, rules: Rules = Rules()) -> Models:
     """Trigram models from all documents with a declared language. What reaches the driver is a count per language and
     bucket, however many documents there are."""
     counted = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = counted.toPandas()
-    names = sorted(x for x in rows["lang"].unique() if x != UNKNOWN)
+    # One row per language; values of lang that aren't languages don't reach the driver, however many there are.
+    rows = counted.groupBy("lang").agg(F.sum("n").alias("total"), F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts")).where(F.col("total") >= rules.least_grams).toArrow()
+    found = {lang: (buckets.values.to_numpy(), counts.values.to_numpy()) for lang, buckets, counts in zip(rows["lang"].to_pylist(), rows["buckets"], rows["counts"])}
+    names = sorted(x for x in found if x != UNKNOWN)
     chance = np.full((1 << BITS, len(names) + 1), rules.smooth)
     for k, name in enumerate(names):
-        own = rows[rows["lang"] == name]
-        chance[own["bucket"].to_numpy(), k] += own["n"].to_numpy()
+        chance[found[name][0], k] += found[name][1]
     chance[:, -1] = 1
     return Models((*names, UNKNOWN), chance / chance.sum(axis=0))
 
