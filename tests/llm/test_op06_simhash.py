@@ -1,7 +1,9 @@
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from tests.llm.helpers import edge_docs, edge_rows, empty_docs, prose
 
 from linkloom.llm import components as cc
@@ -79,3 +81,29 @@ def test_edges(spark):
     left = [r.doc_id for r in kept.collect()]
     assert sorted(x for x in left if x is not None) == sorted({x for x in ids if x is not None} - {8}) and left.count(None) == 3
     assert op.duplicates(empty_docs(spark)).count() == 0 and op.deduplicated(empty_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [16, 21, 24])
+def test_recall_at_the_radius_with_more_key_bits(spark, bits):
+    """Pairs at exactly the radius, of random fingerprints, against brute force."""
+    rng = np.random.default_rng(bits)
+    rules = op.Rules(key_bits=bits).scaled(0)
+    raw = rng.integers(0, 2, (300, op.WIDTH), np.uint8)
+    other = raw.copy()
+    for row in other:
+        row[rng.choice(op.WIDTH, rules.radius, replace=False)] ^= 1
+    hi, lo = np.packbits(np.concatenate([raw, other]), axis=1).view(np.int64).T
+    far = distances(hi.copy(), lo.copy())
+    want = {(int(b), int(a)) for a, b in np.argwhere(np.triu(far <= rules.radius, 1))}
+    assert rules.key_bits == bits and len(want) >= 300
+    reps = spark.createDataFrame([(k, int(x), int(y)) for k, (x, y) in enumerate(zip(hi, lo))], "rep long, hi long, lo long")
+    got = {tuple(r) for r in op.near(reps, rules).collect()}
+    assert got <= want and len(got) >= 0.87 * len(want)
+
+
+def test_tables_find_pairs_at_the_radius_whatever_the_number_of_documents():
+    for rules in (op.Rules(), op.Rules(key_bits=21), op.Rules(radius=3), op.Rules(radius=0), op.Rules(radius=120), op.Rules(radius=op.WIDTH)):
+        for n in (0, 1, 10**6, 12 * 10**6, 10**9, 5 * 10**10):
+            own = rules.scaled(n)
+            shared = math.comb(op.WIDTH - rules.radius, own.key_bits) / math.comb(op.WIDTH, own.key_bits)
+            assert (shared == 1 or 1 - math.exp(own.tables * math.log1p(-shared)) >= 0.9 - 1e-9) and own.tables >= rules.tables
