@@ -2,8 +2,11 @@
 
 A text is cut into sentences: at line ends, and at ``.!?;:`` before white space or the end. A sentence is normalised to its
 words, runs of ASCII letters and digits in lower case; sentences without words don't count. Each known licence sentence has
-an identifier; a document is the sequence of identifiers of its sentences. A rule is a sequence of identifiers, to be found in
-sentences that follow one another. Rules are ordered: a match that overlaps one of an earlier rule is dropped.
+an identifier. It is found in one sentence of the text, or wrapped over several: those that follow one another with a single
+line end between them, and no ``.!?;:`` before that line end. Marks at the begin of a line, as of comments, don't matter; a
+line without words parts sentences. A rule is a sequence of identifiers, to be found one right after the other. Rules are
+ordered: a match that overlaps one of an earlier rule is dropped. Places and sizes of matches are counted in sentences of the
+text, so a wrapped licence sentence counts as many as it has lines.
 
 A null or empty text has no match; a document without a match has no row. Repeated rows are scanned each, and a licence that
 stands twice is reported twice. Rows without doc_id are scanned, their doc_id is null. An empty table gives no rows. Extra
@@ -15,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -86,65 +90,113 @@ def known(rules: tuple[Rule, ...]) -> dict[str, int]:
     return {s: k + 1 for k, s in enumerate(dict.fromkeys(normal(s) for r in rules for s in r.sentences))}
 
 
-def sentences(piece: tx.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each sentence that has words, and how many lie before each text (one more than texts)."""
+class Cut(NamedTuple):
+    """The sentences that have words, of a slice: the words of each (first..after-1), the unit it is in (sentences of one
+    unit are parted by line ends that may be wraps), how many lie before each text (one more than texts), sums of hashes."""
+
+    first: np.ndarray
+    after: np.ndarray
+    unit: np.ndarray
+    where: np.ndarray
+    sums: np.ndarray
+
+    def hashes(self, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """A hash of the words first..after-1, for each."""
+        _, downs = tx.powers(len(self.sums))
+        return tx.mix((self.sums[after] - self.sums[first]) * downs[first] + (after - first).astype(np.uint64) * _MULTIPLIER)
+
+
+def sentences(piece: tx.Slice) -> Cut:
     data, offsets = piece.data, piece.offsets
     begins, ends, _ = tx.tokens(data, offsets, _ALNUM)
     if len(begins) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return Cut(none, none, none, np.zeros(len(offsets), np.int64), np.zeros(1, np.uint64))
     n = len(data)
-    stop = _LINE[data]
     before_gap = np.ones(n, bool)
     before_gap[:-1] = _GAP[data[1:]]
     last = offsets[1:] - 1
     before_gap[last[last >= 0]] = True
-    stop |= _END[data] & before_gap
-    stops = np.flatnonzero(stop)
+    marks = _END[data] & before_gap
+    stops = np.flatnonzero(_LINE[data] | marks)
     # A word begins a sentence if a stop or the text's begin lies between it and the word before.
-    passed = np.searchsorted(stops, begins) + np.searchsorted(offsets[1:], begins, "right")
-    first = tx.runs(passed)
-    ups, downs = tx.powers(len(begins))
+    text = np.searchsorted(offsets[1:], begins, "right")
+    first = tx.runs(np.searchsorted(stops, begins) + text)
+    after = np.append(first[1:], len(begins))
+    # A sentence runs on if one line end (\r\n is one) lies between it and the next, and no mark before that.
+    line_end = _LINE[data]
+    line_end[:-1] &= (data[:-1] != 13) | (data[1:] != 10)
+    lines, marks = np.append(np.flatnonzero(line_end), n), np.append(np.flatnonzero(marks), n)
+    end, begin = ends[first[1:] - 1], begins[first[1:]]
+    line = np.searchsorted(lines, end)
+    on = (np.searchsorted(lines, begin) - line == 1) & (lines[line] < marks[np.searchsorted(marks, end)]) & (text[first[1:]] == text[first[:-1]])
+    ups, _ = tx.powers(len(begins))
     sums = np.zeros(len(begins) + 1, np.uint64)
     np.cumsum(tx.hashes(tx.LOWER[data], begins, ends) * ups[: len(begins)], out=sums[1:])
-    after = np.append(first[1:], len(begins))
-    return tx.mix((sums[after] - sums[first]) * downs[first] + (after - first).astype(np.uint64) * _MULTIPLIER), np.searchsorted(begins[first], offsets)
-
-
-def matches(ids: dict[int, int], rules: list[tuple[int, ...]]) -> list[tuple[int, int]]:
-    """(rule, first sentence) of all matches that overlap none of an earlier rule; ids: by number of the sentence."""
+    return Cut(first, after, np.concatenate(([0], np.cumsum(~on))), np.searchsorted(begins[first], offsets), sums)
+
+
+def spotted(cut: Cut, codes: dict[int, dict[int, int]]) -> list[tuple[int, int, int]]:
+    """(first sentence, identifier, sentence after it) of all licence sentences, in order; codes: by number of words, the
+    identifier of each hash."""
+    out = []
+    for words, own in codes.items():
+        end = cut.first + words
+        last = np.minimum(np.searchsorted(cut.after, end), max(len(cut.after) - 1, 0))
+        at = np.flatnonzero((cut.after[last] == end) & (cut.unit[last] == cut.unit))
+        hashed = cut.hashes(cut.first[at], end[at])
+        hit = np.flatnonzero(np.isin(hashed, np.array(list(own), np.uint64)))
+        out += [(a, own[h], z + 1) for a, h, z in zip(at[hit].tolist(), hashed[hit].tolist(), last[at[hit]].tolist())]
+    return sorted(out)
+
+
+def stretches(spots: dict[tuple[int, int], int], rules: list[tuple[int, ...]]) -> list[tuple[int, int, int]]:
+    """(rule, first sentence, sentence after it) of all matches that overlap none of an earlier rule; spots: by first sentence
+    and identifier, the sentence after it."""
     out, covered = [], set()
     for r, own in enumerate(rules):
-        found = [at for at in ids if all(ids.get(at + k) == x for k, x in enumerate(own))]
-        out += [(r, at) for at in found if covered.isdisjoint(range(at, at + len(own)))]
-        covered.update(k for at in found for k in range(at, at + len(own)))
+        found = []
+        for at, x in spots:
+            if x == own[0]:
+                end: int | None = at
+                for y in own:
+                    end = spots.get((end, y)) if end is not None else None
+                if end is not None:
+                    found.append((at, end))
+        out += [(r, at, end) for at, end in found if covered.isdisjoint(range(at, end))]
+        covered.update(k for at, end in found for k in range(at, end))
     return out
 
 
+def matches(ids: dict[int, int], rules: list[tuple[int, ...]]) -> list[tuple[int, int]]:
+    """(rule, first sentence) of the ``stretches`` of licence sentences that aren't wrapped; ids: by number of the sentence."""
+    return [(r, at) for r, at, _ in stretches({(at, x): at + 1 for at, x in ids.items()}, rules)]
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per match: doc_id, licence, rule, first_sentence (from 0, of the sentences with words), sentences (how many)."""
     names = known(rules)
     sequences = [tuple(names[normal(s)] for s in r.sentences) for r in rules]
-    hashed, ids = [], []
+    codes: dict[int, dict[int, int]] = {}
     for text, k in names.items():
         raw = np.frombuffer(text.encode(), np.uint8)
-        hashed.append(sentences(tx.Slice(0, raw, np.array([0, len(raw)])))[0][0])
-        ids.append(k)
-    order = np.argsort(np.array(hashed, np.uint64))
-    codes, numbers = np.array(hashed, np.uint64)[order], np.array(ids)[order]
+        own = sentences(tx.Slice(0, raw, np.array([0, len(raw)])))
+        codes.setdefault(len(own.sums) - 1, {})[int(own.hashes(own.first, own.after)[0])] = k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
             for piece in tx.slices(batch.column(1)):
-                own, where = sentences(piece)
-                at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-                hits = np.flatnonzero(codes[at] == own)
-                doc = np.searchsorted(where, hits, "right") - 1
-                for d in np.unique(doc).tolist():
-                    of_doc = hits[doc == d]
-                    for r, first in matches(dict(zip((of_doc - where[d]).tolist(), numbers[at[of_doc]].tolist())), sequences):
+                cut = sentences(piece)
+                spots = spotted(cut, codes)
+                of_doc: dict[int, dict[tuple[int, int], int]] = {}
+                for d, (at, k, end) in zip((np.searchsorted(cut.where, [x[0] for x in spots], "right") - 1).tolist(), spots):
+                    begin = int(cut.where[d])
+                    of_doc.setdefault(d, {})[at - begin, k] = end - begin
+                for d, own in of_doc.items():
+                    for r, first, end in stretches(own, sequences):
                         rows.append(piece.first + d)
-                        found.append((rules[r].licence, rules[r].name, first, len(sequences[r])))
+                        found.append((rules[r].licence, rules[r].name, first, end - first))
             columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], ["doc_id", "licence", "rule", "first_sentence", "sentences"])
 
@@ -152,7 +204,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def sql(rules: tuple[Rule, ...] = RULES) -> str:
-    """DuckDB SQL for the rows of ``scan`` over ``documents`` (of distinct doc_id)."""
+    """DuckDB SQL for the rows of ``scan`` over ``documents`` (of distinct doc_id) in which no licence sentence is wrapped."""
     names = known(rules)
     sentences_ = ", ".join(f"('{s}', {k})" for s, k in names.items())
     steps = ", ".join(f"({r}, '{x.licence}', '{x.name}', {len(x.sentences)}, {k}, {names[normal(s)]})" for r, x in enumerate(rules) for k, s in enumerate(x.sentences))

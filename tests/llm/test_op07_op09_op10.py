@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import duckdb
 import pyarrow as pa
@@ -94,6 +95,19 @@ def test_licence_edges(spark):
     assert lic.scan(empty_docs(spark)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    fill = lambda text, mark="", width=70: "\n".join(mark + x for x in textwrap.wrap(text, width))
+    grant, notice, as_is = (fill(x) for x in (lic._MIT_GRANT + ":", lic._MIT_NOTICE + ".", lic._MIT_AS_IS.upper() + ". In no event shall the authors be liable."))
+    mit = f"MIT License\n\nCopyright (c) X\n\n{grant}\n\n{notice}\n\n{as_is}\n"
+    gpl = lambda mark: f"{mark}Copyright X\n{mark.rstrip()}\n" + fill(f"{lic._GPL_FREE}: {lic._GPL_TERMS}.", mark) + f"\n{mark.rstrip()}\n"
+    texts = [mit, mit.replace("\n", "\r\n"), "/*\n" + gpl(" * ") + " */\nint x;", gpl("# "), gpl(";; "), gpl("! "), "All rights\nreserved", "All rights\n\nreserved", "All rights.\nreserved", "All rights\n *\n * reserved", "not All rights\nreserved",
+             "Licensed under the Apache License, Version 2.0\nYou may not use this file except in\ncompliance with the License. You may obtain a copy\nof the License at\n\nx", "All rights", "reserved"]
+    got = {(r.doc_id, r.rule, r.first_sentence, r.sentences) for r in lic.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    n = sum(x.count("\n") + 1 for x in (grant, notice)) + next(k + 1 for k, x in enumerate(as_is.split("\n")) if "NONINFRINGEMENT." in x)
+    assert {g[:2] for g in got} == {(0, "mit-text"), (1, "mit-text"), (2, "gpl-3-notice"), (3, "gpl-3-notice"), (4, "gpl-3-notice"), (5, "gpl-3-notice"), (6, "all-rights-reserved"), (11, "apache-header")}
+    assert {(0, "mit-text", 2, n), (1, "mit-text", 2, n), (6, "all-rights-reserved", 0, 2), (11, "apache-header", 0, 5)} <= got
+
+
 def brute_pack(lengths, capacity, open_bins):
     bins, opened, out = [], 0, []
     for n in lengths:
