@@ -1,6 +1,7 @@
 """Audio features of a media column: resampling, log-mel filterbanks, energy segments, as fixed-shape tensors.
 
-A media value is binary: a RIFF/WAVE file of PCM (8, 16 or 32 bits, mono or more channels, which are averaged), or, without that header, raw
+A media value is binary: a RIFF/WAVE file of PCM (8, 16, 24 or 32 bits) or floats (32 or 64 bits), its format
+plain or extensible, mono or more channels, which are averaged, or, without that header, raw
 unsigned 8-bit mono samples at ``rate``. It is resampled to ``target`` by a polyphase filter (one windowed-sinc filter per
 phase, so only wanted samples are computed), cut into overlapping frames, and each frame gives the logs of its mel
 filterbank energies. Frames are stored in tensors of a fixed shape (``frames`` x ``mels``, the last one padded by zeros)
@@ -27,6 +28,10 @@ from pyspark.sql import functions as F
 
 _ROWS = "{id} long, part int, begin_s double, end_s double, frames int, tensor array<float>, segments array<struct<begin_s:double,end_s:double>>"
 
+#: By format and bits, numpy's type; and how the GUID of an extensible header's format goes on after the format's number.
+_READ = {(1, 8): "u1", (1, 16): "<i2", (1, 24): "", (1, 32): "<i4", (3, 32): "<f4", (3, 64): "<f8"}
+_SUBFORMAT = bytes.fromhex("000000001000800000aa00389b71")
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -58,13 +63,22 @@ def samples(raw: bytes | None, rate: int) -> tuple[np.ndarray, int]:
         name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
         if name == b"fmt " and at + 24 <= len(raw):
             kind, channels, own, _, _, bits = struct.unpack_from("<HHIIHH", raw, at + 8)
-            shape = (channels, own, bits) if kind == 1 and channels and own and bits in (8, 16, 32) else None
+            if kind == 0xFFFE and size >= 40 and at + 48 <= len(raw) and raw[at + 34 : at + 48] == _SUBFORMAT:  # extensible
+                kind = struct.unpack_from("<H", raw, at + 32)[0]
+            shape = (channels, own, kind, bits) if channels and own and (kind, bits) in _READ else None
         elif name == b"data" and shape:
-            channels, own, bits = shape
+            channels, own, kind, bits = shape
             data = raw[at + 8 : at + 8 + size]
             data = data[: len(data) // (bits // 8 * channels) * (bits // 8 * channels)]
-            found = np.frombuffer(data, {8: np.uint8, 16: "<i2", 32: "<i4"}[bits]).astype(np.float64)
-            found = (found - 128) / 128 if bits == 8 else found / (1 << bits - 1)
+            if bits == 24:  # as the upper bytes of 32 bits
+                wide = np.zeros((len(data) // 3, 4), np.uint8)
+                wide[:, 1:] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+                data, bits = wide.tobytes(), 32
+            found = np.frombuffer(data, _READ[kind, bits]).astype(np.float64)
+            if kind == 3:
+                found = np.clip(np.nan_to_num(found, nan=0.0), -1, 1)
+            else:
+                found = (found - 128) / 128 if bits == 8 else found / (1 << bits - 1)
             return found.reshape(-1, channels).mean(axis=1).astype(np.float32), own
         at += 8 + size + size % 2
     return none, rate

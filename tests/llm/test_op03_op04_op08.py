@@ -214,3 +214,25 @@ def test_toxicity_edges(spark):
     for none in (marks.limit(0), marks.where("toxic = 0")):
         assert all(r.score is None and not r.toxic for r in tox.scored(docs, none).collect())
     assert tox.scored(empty_docs(spark), marks).count() == 0
+
+
+def test_wave_of_24_bits_floats_and_extensible_headers():
+    want = np.array([0.0, 0.5, -0.5, 0.25, -1.0, 0.125])
+    whole = (want * (1 << 23)).astype("<i4")
+    three = b"".join(int(x).to_bytes(3, "little", signed=True) for x in whole)
+
+    def wave(kind, bits, data, sub=None, channels=1):
+        head = struct.pack("<HHIIHH", kind if sub is None else 0xFFFE, channels, 8000, 8000 * channels * bits // 8, channels * bits // 8, bits)
+        head += b"" if sub is None else struct.pack("<HHIH", 22, bits, 0, sub) + bytes.fromhex("000000001000800000aa00389b71")
+        return b"RIFF" + struct.pack("<I", 0) + b"WAVEfmt " + struct.pack("<I", len(head)) + head + b"data" + struct.pack("<I", len(data)) + data
+
+    cases = [(1, 24, three), (3, 32, want.astype("<f4").tobytes()), (3, 64, want.astype("<f8").tobytes()), (1, 16, (want * (1 << 15)).astype("<i2").tobytes())]
+    for kind, bits, data in cases:
+        for sub in (None, kind):
+            got, rate = audio.samples(wave(kind, bits, data, sub), 1)
+            assert rate == 8000 and np.allclose(got, want, atol=1e-6), (kind, bits, sub)
+    got, _ = audio.samples(wave(1, 24, three, 1, channels=2), 1)
+    assert np.allclose(got, want.reshape(-1, 2).mean(axis=1), atol=1e-6)
+    assert len(audio.samples(wave(2, 4, three), 1)[0]) == 0 and len(audio.samples(wave(1, 24, three, 2), 1)[0]) == 0
+    odd = np.array([np.nan, np.inf, -np.inf, 3], "<f4").tobytes()
+    assert audio.samples(wave(3, 32, odd), 1)[0].tolist() == [0, 1, -1, 1]
