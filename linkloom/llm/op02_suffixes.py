@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm import text as tx
-from linkloom.llm.storage import kept, width
+from linkloom.llm.storage import kept, row_key, width
 
 _SPLIT = "w0 long, w1 long, w2 long, tie long"
 _PACKED = "bucket int, ids binary, nulls binary, keys binary, docs binary, starts binary, counts binary, w0 binary, w1 binary, w2 binary, windows binary"
@@ -342,11 +342,7 @@ def _compare(rules: Rules):
 
 def keyed(docs: DataFrame) -> DataFrame:
     """key (of doc_id and text together), doc_id, text."""
-    return docs.select(_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def _key(docs: DataFrame):
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    return docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _repeats(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -407,7 +403,7 @@ def deduplicated(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias(spans))
         .withColumnsRenamed({"key": key, "doc_id": doc})
     )
-    own = docs.select("*", _key(docs).alias(f"{key}_own"))
+    own = docs.select("*", row_key(docs).alias(f"{key}_own"))
     joined = own.join(gone, (F.col(f"{key}_own") == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left").select(*names, spans)
     schema = docs.schema
 

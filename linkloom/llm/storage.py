@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession) -> str:
@@ -39,3 +40,8 @@ def width(df: DataFrame, per_mb: float) -> int:
     size = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
     few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return few if size > 1 << 60 else max(few, -(-size // int(per_mb * 1e6)))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's doc_id and text: what documents are told apart by."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
