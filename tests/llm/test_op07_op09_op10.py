@@ -76,8 +76,8 @@ def test_licence_rules_are_ordered():
 
 
 def test_licences_against_sql(spark):
-    mit = "Copyright (c) X.\n" + ". ".join([lic._MIT_GRANT.upper(), lic._MIT_NOTICE, lic._MIT_AS_IS]) + "."
-    texts = [mit, f"{lic._MIT_GRANT}: {lic._MIT_NOTICE}. Other.", f"{lic._MIT_GRANT}: other. {lic._MIT_NOTICE}.", "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n x",
+    mit = "Copyright (c) X.\n" + " ".join([lic._MIT_GRANT.upper(), lic._MIT_NOTICE, lic._MIT_AS_IS])
+    texts = [mit, f"{lic._MIT_GRANT} {lic._MIT_NOTICE} Other.", f"{lic._MIT_GRANT} other. {lic._MIT_NOTICE}", "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n x",
              "x\r\nAll rights reserved!! all RIGHTS — reserved", "released under the mit license", "not Released under the MIT License", "Licensed under CC BY-NC 4.0.\n" * 3, None, "", "... !"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(tuple(r) for r in lic.scan(docs).collect())
@@ -95,17 +95,118 @@ def test_licence_edges(spark):
     assert lic.scan(empty_docs(spark)).count() == 0
 
 
+def both(spark, texts):
+    """What the scan finds, which must be what the SQL finds."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in lic.scan(docs).collect())
+    db = duckdb.connect()
+    table = docs.toArrow()
+    db.register("documents", table)
+    assert got == sorted(db.execute(lic.sql()).fetchall())
+    return got
+
+
+def fill(text, mark="", width=70):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
 def test_wrapped_licences(spark):
-    fill = lambda text, mark="", width=70: "\n".join(mark + x for x in textwrap.wrap(text, width))
-    grant, notice, as_is = (fill(x) for x in (lic._MIT_GRANT + ":", lic._MIT_NOTICE + ".", lic._MIT_AS_IS.upper() + ". In no event shall the authors be liable."))
+    grant, notice, as_is = (fill(x) for x in (lic._MIT_GRANT, lic._MIT_NOTICE, lic._MIT_AS_IS.upper() + " IN NO EVENT SHALL THE AUTHORS BE LIABLE."))
     mit = f"MIT License\n\nCopyright (c) X\n\n{grant}\n\n{notice}\n\n{as_is}\n"
-    gpl = lambda mark: f"{mark}Copyright X\n{mark.rstrip()}\n" + fill(f"{lic._GPL_FREE}: {lic._GPL_TERMS}.", mark) + f"\n{mark.rstrip()}\n"
+    gpl = lambda mark: f"{mark}Copyright X\n{mark.rstrip()}\n" + fill(lic._gnu("This program", "General Public License", "3", ":"), mark) + f"\n{mark.rstrip()}\n"
     texts = [mit, mit.replace("\n", "\r\n"), "/*\n" + gpl(" * ") + " */\nint x;", gpl("# "), gpl(";; "), gpl("! "), "All rights\nreserved", "All rights\n\nreserved", "All rights.\nreserved", "All rights\n *\n * reserved", "not All rights\nreserved",
-             "Licensed under the Apache License, Version 2.0\nYou may not use this file except in\ncompliance with the License. You may obtain a copy\nof the License at\n\nx", "All rights", "reserved"]
-    got = {(r.doc_id, r.rule, r.first_sentence, r.sentences) for r in lic.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+             "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in\ncompliance with the License. You may obtain a copy\nof the License at\n\nx", "All rights", "reserved"]
+    got = both(spark, texts)
     n = sum(x.count("\n") + 1 for x in (grant, notice)) + next(k + 1 for k, x in enumerate(as_is.split("\n")) if "NONINFRINGEMENT." in x)
-    assert {g[:2] for g in got} == {(0, "mit-text"), (1, "mit-text"), (2, "gpl-3-notice"), (3, "gpl-3-notice"), (4, "gpl-3-notice"), (5, "gpl-3-notice"), (6, "all-rights-reserved"), (11, "apache-header")}
-    assert {(0, "mit-text", 2, n), (1, "mit-text", 2, n), (6, "all-rights-reserved", 0, 2), (11, "apache-header", 0, 5)} <= got
+    assert {(g[0], g[2]) for g in got} == {(0, "mit-text"), (1, "mit-text"), (2, "gpl-3-notice"), (3, "gpl-3-notice"), (4, "gpl-3-notice"), (5, "gpl-3-notice"), (6, "all-rights-reserved"), (11, "apache-header")}
+    assert {(0, "MIT", "mit-text", 2, n), (1, "MIT", "mit-text", 2, n), (6, "proprietary", "all-rights-reserved", 0, 2), (11, "Apache-2.0", "apache-header", 0, 5)} <= set(got)
+
+
+_BSD_3 = """Copyright (c) 2019, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES.
+"""
+_APACHE = """Copyright 2020 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+_ISC = """Copyright (c) 2004-2010 by Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.
+"""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+_LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY.
+"""
+
+
+def test_licence_files_as_they_are_found(spark):
+    bsd_2 = _BSD_3[: _BSD_3.index("3. Neither")] + _BSD_3[_BSD_3.index("THIS SOFTWARE") :]
+    own_name = _BSD_3.replace("the copyright holder nor the names of its\n   contributors", "Some Body, Inc. nor the names of other\n   contributors".replace(".", ""))
+    comment = lambda text, mark: "\n".join((mark + line).rstrip() for line in text.split("\n"))
+    gpl_2 = _LGPL.replace("library", "program").replace("Lesser General Public\nLicense", "General Public\nLicense").replace("version 2.1", "version 2")
+    named = {
+        "bsd-3-text": [_BSD_3, own_name, _BSD_3.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), "/*\n" + comment(_BSD_3, " * ") + "\n */"], "bsd-2-text": [bsd_2, comment(bsd_2, "// "), comment(bsd_2, "# ").replace("\n", "\r\n")],
+        "apache-notice": [_APACHE, comment(_APACHE, "# "), "/*\n" + comment(_APACHE, " * "), _APACHE.replace("http:", "https:")], "isc-text": [_ISC, comment(_ISC, "-- "), _ISC.replace("and/or", "and")], "unlicense-text": [_UNLICENSE], "mpl-notice": [_MPL, comment(_MPL, "// "), comment(_MPL, " * ")],
+        "lgpl-2.1-notice": [_LGPL, comment(_LGPL, " * ")], "gpl-2-notice": [gpl_2, comment(gpl_2, "# ")], "gpl-3.0-text": ["GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nPreamble"], "apache-text": ["   Apache License\n  Version 2.0, January 2004\n http://www.apache.org/licenses/\n\nTERMS"],
+        "mpl-text": ["Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------"], "spdx": ["// SPDX-License-Identifier: Apache-2.0\nint x;"], "cc-by-sa-line": ["This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."], "cc-by-line": ["Licensed under CC BY 4.0"],
+        "mit-line": ["Some prose without an end\nReleased under the MIT License.\nMore of it"], "bsd-3-line": ["This project is licensed under the BSD 3-Clause License."],
+    }
+    texts = [(rule, text) for rule, own in named.items() for text in own]
+    got = both(spark, [text for _, text in texts])
+    for k, (rule, text) in enumerate(texts):
+        assert [g[2] for g in got if g[0] == k and g[2] != "all-rights-reserved"] == [rule], text
 
 
 def brute_pack(lengths, capacity, open_bins):
