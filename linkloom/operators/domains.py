@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_domain_state(rows: DataFrame, domains: DataFrame, defaults: dict[str, object]) -> DataFrame:
-    """Adds columns of ``domains`` (one row per domain), or their defaults."""
-    known = domains.select("domain", *defaults)
+def with_domain_state(rows: DataFrame, domains: DataFrame, defaults: dict[str, object], on_get: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Adds columns of ``domains`` (one row per domain), or their defaults. on_get: what is done with a state that is read."""
+    known = (domains if on_get is None else on_get(domains)).select("domain", *defaults)
     return rows.join(known, "domain", "left").withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
@@ -51,8 +53,10 @@ def queued(rows: DataFrame) -> DataFrame:
 
 def collected(rows: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """The distinct values of ``column`` by domain, in order; the first ``limit`` of them."""
-    found = F.array_sort(F.collect_set(column))
-    return rows.groupBy("domain").agg((found if limit is None else F.slice(found, 1, limit)).alias(column))
+    values = rows.select("domain", column).where(F.col(column).isNotNull()).distinct()
+    if limit is not None:  # a top-k of each domain, before any array is made
+        values = values.withColumn("_turn", F.row_number().over(Window.partitionBy("domain").orderBy(column))).where(F.col("_turn") <= limit)
+    return values.groupBy("domain").agg(F.array_sort(F.collect_list(column)).alias(column))
 
 
 def storable(rows: DataFrame, key: str = "domain", limit: int = 255, field_limit: int = 1_992_294) -> DataFrame:

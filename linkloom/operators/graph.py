@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,29 @@ def recorded(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seen, arcs
 
 
+def recorder_counters(events: DataFrame) -> DataFrame:
+    """Of recorded events (url, status, parent, is_seed, seq), one row: pages, seeds and links as they were added, how many pages
+    and links were removed in the end since they never got a status, and what is left."""
+    by_page = events.groupBy("url").agg(F.max(F.coalesce("is_seed", F.lit(False)).cast("int")).alias("seed"), (F.count("status") > 0).alias("answered"), F.count_distinct("parent").alias("parents"))
+    gone = ~F.col("answered")
+    return by_page.agg(
+        F.count("*").alias("pages_added"), F.coalesce(F.sum("seed"), F.lit(0)).alias("seeds_count"), F.coalesce(F.sum("parents"), F.lit(0)).alias("links_added"),
+        F.coalesce(F.sum(gone.cast("bigint")), F.lit(0)).alias("pages_removed"), F.coalesce(F.sum(F.when(gone, F.col("parents"))), F.lit(0)).alias("links_removed"),
+    ).withColumns({"pages_count": F.col("pages_added") - F.col("pages_removed"), "links_count": F.col("links_added") - F.col("links_removed")})
+
+
+def samples(spark: SparkSession) -> dict[str, DataFrame]:
+    """Small sites to try a crawl on, as links (parent, child): trees, loops, shared pages, several hosts."""
+    made = lambda rows: spark.createDataFrame(rows, "parent string, child string")
+    one, two = site(spark, "http://one.test/", 4, 2), site(spark, "http://two.test/", 4, 2)
+    hosts = [(f"http://h{k}.test/", f"http://h{(k * m + 1) % 7}.test/{m}") for k in range(7) for m in range(1, 4)]
+    return {
+        "tree": one, "two_trees": one.unionByName(two), "tree_with_loops": site(spark, "http://three.test/", 5, 2, True), "pair": made([("http://a.test/1", "http://a.test/2"), ("http://a.test/2", "http://a.test/1")]),
+        "triangle": made([(f"http://a.test/{k}", f"http://a.test/{k % 3 + 1}") for k in (1, 2, 3)]), "shared": made([("http://a.test/1", "http://a.test/3"), ("http://a.test/2", "http://a.test/3")]),
+        "loop": made([("http://a.test/1", "http://a.test/1")]), "hosts": made(hosts), "hosts_and_back": made(hosts + [(b, a) for a, b in hosts]),
+    }
+
+
 def dot(links: DataFrame) -> DataFrame:
     """The graph in the DOT language, a line per row, in order."""
     quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, '"', '\\\\"'), F.lit('"'))
@@ -84,12 +109,13 @@ def dot(links: DataFrame) -> DataFrame:
 def depths(links: DataFrame, roots: DataFrame, limit: int = 100) -> DataFrame:
     """Least distance of each page reachable from ``roots`` (url) over links (parent, child), breadth first: each level is one
     join with the links and an exclusion of what was reached, written to the shared folder."""
-    arcs = links.select("parent", "child").distinct()
+    arcs = kept(links.select("parent", "child").distinct().repartition("parent"))  # found once, and laid out as each level joins it
     front = kept(roots.select("url").distinct().withColumn("depth", F.lit(0)))
-    found = front
+    fronts = [front]
     for level in range(1, limit + 1):
+        found = reduce(DataFrame.unionByName, fronts)
         front = kept(arcs.join(front, arcs["parent"] == front["url"]).select(F.col("child").alias("url")).distinct().join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(level)))
         if front.isEmpty():
             break
-        found = kept(found.unionByName(front))
-    return found
+        fronts.append(front)  # a level is written once
+    return reduce(DataFrame.unionByName, fronts)

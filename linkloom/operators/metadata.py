@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import timedelta
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.states import first_wins
@@ -13,14 +15,23 @@ def seeds(requests: DataFrame) -> DataFrame:
     return requests.withColumn("depth", F.lit(0))
 
 
-def page_crawled(events: DataFrame) -> DataFrame:
-    """Of crawled pages (url, fingerprint, status_code, ts, seq): fetched_at and status_code."""
-    return events.select("fingerprint", "url", F.col("ts").alias("fetched_at"), "status_code", "seq")
+def page_crawled(events: DataFrame, content: bool = False) -> DataFrame:
+    """Of crawled pages (url, fingerprint, status_code, ts, seq): fetched_at and status_code, and method, headers, cookies, meta
+    and domain_fingerprint where the events have them; with ``content`` the body."""
+    more = ["body"] if content and "body" in events.columns else []
+    return _carried(events, "status_code", *more).withColumnsRenamed({"body": "content"})
 
 
 def request_error(events: DataFrame) -> DataFrame:
-    """Of failed requests (url, fingerprint, error, ts, seq): fetched_at and error."""
-    return events.select("fingerprint", "url", F.col("ts").alias("fetched_at"), "error", "seq")
+    """Of failed requests (url, fingerprint, error, ts, seq): fetched_at and error, and what ``page_crawled`` carries."""
+    return _carried(events, "error")
+
+
+def _carried(events: DataFrame, *columns: str) -> DataFrame:
+    kinds = dict(events.dtypes)
+    headers = F.transform_values("headers", lambda _, v: F.element_at(v, 1)) if kinds.get("headers", "").endswith("array<string>>") else F.col("headers")
+    more = [headers.alias(c) if c == "headers" else F.col(c) for c in ("method", "headers", "cookies", "meta", "domain_fingerprint") if c in kinds]
+    return events.select("fingerprint", "url", F.col("ts").alias("fetched_at"), *columns, *more, "seq")
 
 
 def links(events: DataFrame) -> DataFrame:
@@ -49,6 +60,13 @@ def scores(updates: DataFrame) -> DataFrame:
     return updates.select("fingerprint", "score", "seq")
 
 
+def due(table: DataFrame, interval: timedelta, now: Column) -> DataFrame:
+    """Pages (fetched_at, other columns) that are to be fetched again: adds crawl_at, ``interval`` after they were last fetched,
+    and leaves out those it isn't time for."""
+    at = F.col("fetched_at") + F.make_dt_interval(secs=F.lit(float(interval.total_seconds())))
+    return table.where(F.col("fetched_at").isNotNull()).withColumn("crawl_at", at).where(F.col("crawl_at") <= now)
+
+
 def changed_states(events: DataFrame) -> DataFrame:
     """State changes (fingerprint, state, seq) of events: crawled 2, failed 3, scheduled 1."""
     state = F.when(F.col("type") == "page_crawled", 2).when(F.col("type") == "request_error", 3).when((F.col("type") == "update_score") & F.col("schedule"), 1)

@@ -28,7 +28,8 @@ def serve(pending: DataFrame, fresh: DataFrame, busy: DataFrame, max_n: int) ->
     fetched what was lacking); fresh rows of busy hosts are parked. Both have host, seq and equal columns."""
     served = round_robin(pending, busy, max_n).drop("turn")
     free, parked = split(fresh, busy)
-    left = pending.join(served.select("host", "seq"), ["host", "seq"], "left_anti")
+    keys = [c for c in ("host", "seq", "id") if c in pending.columns]  # rows of one place in the order are told apart by id
+    left = pending.join(served.select(keys), keys, "left_anti")
     return served.unionByName(free), left.unionByName(parked)
 
 

@@ -11,18 +11,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.functions import hashing, urls
-
+from linkloom.functions import hashing, scoring, urls
 
 
 def order(kind: str | Sequence[Column] = "score_desc") -> tuple[Column, ...]:
-    """score_desc, score_asc, fifo, lifo, bucket_desc (score's interval of a hundredth), or columns of your own."""
+    """score_desc, score_asc, fifo, lifo, random, bucket_desc (score's interval of a hundredth, oldest first within one), or
+    columns of your own."""
     if not isinstance(kind, str):
         return tuple(kind)
     tie = (F.col("created_at").asc_nulls_last(), F.col("id").asc())
     return {
         "score_desc": (F.col("score").desc_nulls_last(), *tie),
         "score_asc": (F.col("score").asc_nulls_last(), *tie),
+        "bucket_desc": (scoring.bucket(F.col("score")).desc_nulls_last(), *tie),
         "fifo": tie,
         "lifo": (F.col("created_at").desc_nulls_last(), F.col("id").desc()),
         "random": (F.xxhash64("id", F.lit(17)), F.col("id")),
@@ -68,6 +69,38 @@ def next_batch(
     if max_per_host is not None:  # so many rows hold min_hosts hosts, if there are that many: a top-k before the shuffle
         most = max(max_n, min_hosts * (max_per_host + int(inclusive_cap)))
         rows = rows.withColumn("place", F.row_number().over(of_partition)).where(F.col("place") <= most)
+        return _broad(rows, max_n, min_hosts, keys, host)
+    if not isinstance(by, str):
+        return _broad(rows, max_n, min_hosts, keys, host)
+    # The batch ends at its max_n-th row, or where the min_hosts-th host of the partition begins. Both are top-k before their
+    # shuffle; all other rows are compared with that one, so no partition is sorted whole.
+    mark = F.struct(*(c.alias(f"k{k}") for k, c in enumerate(_ascending(by))))
+    leads = rows.withColumn("_turn", F.row_number().over(of_host)).where(F.col("_turn") <= 1)
+    leads = leads.withColumn("_lead", F.row_number().over(of_partition)).where(F.col("_lead") <= min_hosts)
+    leads = leads.groupBy("partition_id").agg(F.max(mark).alias("_host"), F.count("*").alias("_hosts"))
+    nth = rows.withColumn("place", F.row_number().over(of_partition)).where(F.col("place") <= max_n).groupBy("partition_id").agg(F.max(mark).alias("_nth"))
+    ends = leads.join(nth, "partition_id", "left").select("partition_id", F.when(F.col("_hosts") >= min_hosts, F.greatest("_host", "_nth")).alias("_end"))
+    taken = rows.join(ends, "partition_id").where(F.col("_end").isNull() | (mark <= F.col("_end"))).drop("_end")
+    return taken.withColumn("place", F.row_number().over(of_partition))
+
+
+def _ascending(kind: str) -> tuple[Column, ...]:
+    """Columns whose ascending order, none of them null, is ``order(kind)``."""
+    score, created = F.col("score"), F.col("created_at")
+    tie = (created.isNull(), F.coalesce(created, F.lit(0)), F.col("id"))
+    return {
+        "score_desc": (score.isNull(), F.coalesce(-score, F.lit(0.0)), *tie),
+        "score_asc": (score.isNull(), F.coalesce(score, F.lit(0.0)), *tie),
+        "bucket_desc": (score.isNull(), F.coalesce(-scoring.bucket(score), F.lit(0)), *tie),
+        "fifo": tie,
+        "lifo": (created.isNull(), F.coalesce(-created, F.lit(0)), -F.col("id")),
+        "random": (F.xxhash64("id", F.lit(17)), F.col("id")),
+    }[kind]
+
+
+def _broad(rows: DataFrame, max_n: int, min_hosts: int, keys: Sequence[Column], host: str) -> DataFrame:
+    of_host = Window.partitionBy("partition_id", host).orderBy(*keys)
+    of_partition = Window.partitionBy("partition_id").orderBy(*keys)
     rows = rows.withColumn("_turn", F.row_number().over(of_host))
     before = F.coalesce(F.sum((F.col("_turn") == 1).cast("int")).over(of_partition.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumns({"place": F.row_number().over(of_partition), "_hosts": before})
@@ -93,8 +126,11 @@ def tiered_batch(queue: DataFrame, max_n: int, min_requests: int, min_hosts: int
 
 
 def remaining(queue: DataFrame, batch: DataFrame) -> DataFrame:
-    """The queue without exactly the rows of the batch."""
-    return queue.join(batch.select("id"), "id", "left_anti")
+    """The queue without exactly the rows of the batch: rows are told apart by id, and by fingerprint where both have it."""
+    keys = ["id", *(["fingerprint"] if "fingerprint" in queue.columns and "fingerprint" in batch.columns else [])]
+    taken = batch.select(*(F.col(k).alias(f"_{k}") for k in keys))
+    same = F.col("id") == F.col("_id")
+    return queue.join(taken, same & F.col("fingerprint").eqNullSafe(F.col("_fingerprint")) if len(keys) > 1 else same, "left_anti")
 
 
 def counts(queue: DataFrame) -> DataFrame:

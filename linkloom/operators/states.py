@@ -40,10 +40,10 @@ def upsert(table: DataFrame, changes: DataFrame, key: str = "fingerprint", order
     so a change need not carry all columns. New keys are inserted; columns of ``table`` only."""
     names = table.columns
     full = changes.select(*(F.col(c) if c in changes.columns else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in names))
-    return _latest(table.unionByName(full), key, order)
+    return latest(table.unionByName(full), key, order)
 
 
-def _latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: of each column the value of greatest order that isn't null."""
     picks = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in rows.columns if c not in (key, order)]
     return rows.groupBy(key).agg(*picks, F.max(order).alias(order)).select(*rows.columns)

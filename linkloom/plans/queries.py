@@ -5,17 +5,21 @@ events are a spider log; documents and labels are links and their states; conver
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom import schema
 from linkloom.functions import hashing, scoring, urls
 from linkloom.operators import domains, enrich, graph, metadata, order, overused, queue, states, stats
-from linkloom.plans import strategies
+from linkloom.plans import simulate, strategies
+from linkloom.plans.settings import Settings
 from linkloom.sources import events as log
-from linkloom.sources import seeds, sitemap
-from linkloom.streaming import pipelines
+from linkloom.sources import robots, seeds, sitemap, wire
+from linkloom.sources.store import FrontierStore, place
+from linkloom.streaming import batches, pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -103,10 +107,20 @@ def domain_enrich(spark, sf_dir):
     return rows.select("page_id", "domain.netloc", "domain.name", "domain.scheme", "domain_fingerprint")
 
 
-@query(f"""with {_PAGES} select page_id, array_to_string(string_split(host, '.')[-2:], '.') as registered, string_split(host, '.')[-1] as tld, string_split(host, '.')[-2] as sld,
-array_to_string(string_split(host, '.')[:-3], '.') as subdomain from p""")
+@query(f"""with {_PAGES}, n as (select page_id, host || ['.co.uk', '.com.au', '', '.co.jp', '.net'][page_id % 5 + 1] as name from p), k as (select *, string_split(name, '.') as labels, case when page_id % 5 in (0, 1, 3) then 2 else 1 end as size from n)
+select page_id, array_to_string(labels[-(size + 1):], '.') as registered, array_to_string(labels[-size:], '.') as tld, labels[-(size + 1)] as sld, array_to_string(labels[:-(size + 2)], '.') as subdomain from k""")
 def registered_domain(spark, sf_dir):
-    return enrich.with_domain(full=True)(_pages(spark, sf_dir)).select("page_id", F.col("domain.name").alias("registered"), "domain.tld", "domain.sld", "domain.subdomain")
+    ends = F.element_at(F.array(*map(F.lit, (".co.uk", ".com.au", "", ".co.jp", ".net"))), (F.col("page_id") % 5 + 1).cast("int"))
+    rows = _pages(spark, sf_dir).withColumn("url", F.concat(F.lit("http://"), "host", ends, F.lit("/x")))
+    return enrich.with_domain(full=True)(rows).select("page_id", F.col("domain.name").alias("registered"), "domain.tld", "domain.sld", "domain.subdomain")
+
+
+@query("select page_id, 'http://a.com/b;c/d' as path_of, 'p=' || page_id as params, 'q=' || page_id as query, 'f' as fragment from pages")
+def url_params(spark, sf_dir):
+    """URLs with parameters in the last segment of the path, and a ``;`` in an earlier one."""
+    n = F.col("page_id").cast("string")
+    u = urls.parts(F.concat(F.lit("http://a.com/b;c/d;p="), n, F.lit("?q="), n, F.lit("#f")))
+    return _pages(spark, sf_dir).select("page_id", u.alias("u")).select("page_id", F.concat("u.scheme", F.lit("://"), "u.netloc", "u.path").alias("path_of"), "u.params", "u.query", "u.fragment")
 
 
 @query(f"with {_PAGES} select page_id, cast(s as integer) as crc, cast(((s % 5) + 5) % 5 as integer) as partition_id from p join crc using (host)")
@@ -121,11 +135,14 @@ def redirect_canonical(spark, sf_dir):
     return enrich.basic_canonical(_redirects(spark, sf_dir)).select("conv_id", "url", "fingerprint", F.greatest(F.size("redirect_urls"), F.lit(1)).alias("hops"))
 
 
-@query(r"""with c as (select conv_id, turn, 'http://h' || (conv_id % 7) || '.com/' || md5(text) as url from conversations),
-chain as (select conv_id, list(url order by turn) as urls from c group by conv_id)
-select conv_id, urls[-1] as url, sha1(urls[-1]) as fingerprint from chain""")
+_HOPS = r"""c as (select conv_id, turn, 'http://h' || ((conv_id + case when conv_id % 2 = 0 then 0 else turn end) % 7) || '.com/' || case when conv_id % 3 = 0 and turn = 0 then '' else md5(text) end as url from conversations),
+chain as (select conv_id, list(url order by turn) as urls from c group by conv_id)"""
+
+
+@query(f"with {_HOPS}, k as (select conv_id, urls, case when conv_id % 3 = 0 or split_part(urls[1], '/', 3) = split_part(urls[-1], '/', 3) then urls[-1] else urls[1] end as url from chain) select conv_id, url, sha1(url) as fingerprint from k")
 def redirect_corporate(spark, sf_dir):
-    return enrich.corporate_canonical(_redirects(spark, sf_dir)).select("conv_id", "url", "fingerprint")
+    """Chains that begin at home pages, that stay on their host, and that leave it."""
+    return enrich.corporate_canonical(_redirects(spark, sf_dir, mixed=True)).select("conv_id", "url", "fingerprint")
 
 
 @query(r"""with c as (select conv_id, turn, 'http://h' || (conv_id % 7) || '.com/' || md5(text) as url from conversations),
@@ -136,9 +153,11 @@ def redirect_rows(spark, sf_dir):
     return metadata.redirects(rows).select(F.col("seq").alias("conv_id"), "url", "fingerprint", "dest_fingerprint")
 
 
-def _redirects(spark, sf_dir):
+def _redirects(spark, sf_dir, mixed=False):
     """Conversations as requests: the last turn is where the chain of the others led."""
-    url = F.concat(F.lit("http://h"), (F.col("conv_id") % 7).cast("string"), F.lit(".com/"), F.md5("text"))
+    host = (F.col("conv_id") + F.when(F.col("conv_id") % 2 == 0, 0).otherwise(F.col("turn"))) % 7
+    page = F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") == 0), "").otherwise(F.md5("text"))
+    url = F.concat(F.lit("http://h"), host.cast("string"), F.lit(".com/"), page) if mixed else F.concat(F.lit("http://h"), (F.col("conv_id") % 7).cast("string"), F.lit(".com/"), F.md5("text"))
     chains = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", url.alias("url")))).getField("url").alias("urls"))
     last = F.element_at("urls", -1)
     before = F.slice("urls", 1, F.size("urls") - 1)
@@ -219,11 +238,13 @@ def last_wins_dedup(spark, sf_dir):
     return states.last_wins(_events(spark, sf_dir), order="event_id").select("fingerprint", "event_id", "event_type", "score")
 
 
-@query("""select user_id as fingerprint, max_by(ts, event_id) filter (where event_type <> 'error') as fetched_at, max_by(value, event_id) filter (where event_type = 'purchase') as score,
-max_by(props, event_id) filter (where event_type = 'error') as error, max(event_id) as seq from events group by user_id""")
+@query("""with t as (select c_custkey as fingerprint, null::timestamp as fetched_at, 0.5::double as score, 'old ' || c_custkey as error, -1::bigint as seq from customer), e as (select user_id as fingerprint, max_by(ts, event_id) filter (where event_type <> 'error') as fetched_at,
+max_by(value, event_id) filter (where event_type = 'purchase') as score, max_by(props, event_id) filter (where event_type = 'error') as error, max(event_id) as seq from events group by user_id)
+select coalesce(e.fingerprint, t.fingerprint) as fingerprint, e.fetched_at, coalesce(e.score, t.score) as score, coalesce(e.error, t.error) as error, coalesce(e.seq, t.seq) as seq from t full join e on t.fingerprint = e.fingerprint""")
 def metadata_upsert(spark, sf_dir):
+    """Changes of customers' rows: some update what is there, some are new."""
     e = _events(spark, sf_dir).withColumnRenamed("event_id", "seq")
-    table = spark.createDataFrame([], "fingerprint bigint, fetched_at timestamp_ntz, score double, error string, seq bigint")
+    table = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("fingerprint"), F.lit(None).cast("timestamp_ntz").alias("fetched_at"), F.lit(0.5).alias("score"), F.concat(F.lit("old "), F.col("c_custkey").cast("string")).alias("error"), F.lit(-1).cast("bigint").alias("seq"))
     changes = e.select("fingerprint", F.when(F.col("event_type") != "error", F.col("ts")).alias("fetched_at"), F.when(F.col("event_type") == "purchase", F.col("score")).alias("score"), F.when(F.col("event_type") == "error", F.col("props")).alias("error"), "seq")
     return states.upsert(table, changes)
 
@@ -313,6 +334,19 @@ def dequeue_min_hosts_capped(spark, sf_dir):
     return queue.next_batch(_queue(spark, sf_dir), 20, min_hosts=40, max_per_host=2).select(*_OUT)
 
 
+@query(f"""with {_QUEUE}, u as (select *, row_number() over (partition by partition_id, host order by {_DESC}) as turn from q where crawl_at <= {_NOW}), c as (select * from u where turn <= 3), h as (select *, cast(row_number() over (partition by partition_id order by {_DESC}) as integer) as place,
+coalesce(sum((turn = 1)::int) over (partition by partition_id order by {_DESC} rows between unbounded preceding and 1 preceding), 0) as hosts from c) select id, partition_id, host, place from h where place <= 20 or hosts < 40""")
+def dequeue_due_broad(spark, sf_dir):
+    """Due rows, with a host cap that lets one more through, until there are enough hosts."""
+    return queue.next_batch(_queue(spark, sf_dir), 20, min_hosts=40, max_per_host=2, inclusive_cap=True, now=_NOW).select(*_OUT)
+
+
+@query(_dequeue("case when score is null then null when cast(trunc(score / 0.01::double) as integer) % 10 = 0 and cast(trunc(score / 0.01::double) as integer) > 0 then cast(trunc(score / 0.01::double) as integer) - 1 else cast(trunc(score / 0.01::double) as integer) end desc nulls last, created_at, id"))
+def dequeue_buckets(spark, sf_dir):
+    """Intervals of scores in order, oldest first within one."""
+    return queue.next_batch(_queue(spark, sf_dir), 200, by="bucket_desc").select(*_OUT)
+
+
 @query("select event_id, user_id, row_number() over (order by user_id, event_id) as n from events")
 def numbered_rows(spark, sf_dir):
     return order.numbered(_t(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id", name="n")
@@ -383,8 +417,22 @@ def overused_purge_keys(spark, sf_dir):
 
 @query(f"with {_QUEUE} select id, host from (select *, row_number() over (partition by host order by created_at, id) as turn from q) where turn <= 3")
 def download_window(spark, sf_dir):
-    turn = F.row_number().over(Window.partitionBy("host").orderBy("created_at", "id"))
-    return _queue(spark, sf_dir).withColumn("turn", turn).where("turn <= 3").select("id", "host")
+    return simulate.fetched(_queue(spark, sf_dir), 3)[0].select("id", "host")
+
+
+@query(f"with {_QUEUE} select host, count(*) - 3 as waiting from q group by host having count(*) > 3")
+def download_overused(spark, sf_dir):
+    return simulate.fetched(_queue(spark, sf_dir), 3)[1]
+
+
+@query(f"""with {_QUEUE}, {_BUSY}, pending as (select id, host, score, id as seq from q where id % 3 = 0), fresh as (select id, host, score, id as seq from q where id % 3 = 1), t as (select *, row_number() over (partition by host order by seq) as turn from pending where host not in (select host from busy)),
+served as (select id from t order by turn, host limit 500) select id, host, id in (select id from served) or (id % 3 = 1 and host not in (select host from busy)) as served from q where id % 3 < 2""")
+def overused_serve(spark, sf_dir):
+    """Rows parked earlier and fresh ones: which are served, and which wait."""
+    rows = _queue(spark, sf_dir).withColumn("seq", F.col("id")).select("id", "host", "score", "seq")
+    busy = _busy(_queue(spark, sf_dir))
+    batch, left = overused.serve(rows.where("id % 3 = 0"), rows.where("id % 3 = 1"), busy, 500)
+    return batch.select("id", "host", F.lit(True).alias("served")).unionByName(left.select("id", "host", F.lit(False).alias("served")))
 
 
 # Links and the graph
@@ -402,17 +450,60 @@ def page_links(spark, sf_dir):
     return sitemap.page_links(_t(spark, sf_dir, "pages")).groupBy("base", "url").agg(F.count("*").alias("n"))
 
 
+_STEPS = "['../x', '../../y?a=../b', './z', 'e/../w#f', '/a/./b/../c', 'x/y/..', '?q=1', '../../../../t/.']"
+
+
+@query(rf"""with x as (select page_id, url as base, lower(regexp_extract(url, '^([^:]+):', 1)) || '://' || regexp_extract(url, '//([^/?#]*)', 1) as root, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) as path, {_STEPS}[page_id % 8 + 1] as link from pages),
+k as (select *, regexp_extract(link, '^([^?#]*)', 1) as own, regexp_extract(link, '([?#].*)$', 1) as rest from x), g as (select *, case when own = '' then null when own like '/%' then own else regexp_replace(path, '/[^/]*$', '') || '/' || own end as whole from k),
+d as (select *, list_reduce(list_prepend('', string_split(whole, '/')[2:]), lambda a, s: case when s = '..' then regexp_replace(a, '/[^/]*$', '') when s = '.' or s = '' then a else a || '/' || s end) || case when whole like '%/..' or whole like '%/.' or whole like '%/' then '/' else '' end as plain from g)
+select page_id, root || case when own = '' then path when plain = '' then '/' else plain end || rest as url from d""")
+def relative_links(spark, sf_dir):
+    """Links with steps up and down, as seen from each page."""
+    steps = ("../x", "../../y?a=../b", "./z", "e/../w#f", "/a/./b/../c", "x/y/..", "?q=1", "../../../../t/.")
+    link = F.element_at(F.array(*map(F.lit, steps)), (F.col("page_id") % 8 + 1).cast("int"))
+    return _t(spark, sf_dir, "pages").select("page_id", urls.join(F.col("url"), link).alias("url"))
+
+
+@query(rf"""with {_PAGES}, k as (select *, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) as path from p), h as (select host, min(split_part(path, '/', 2)) as x from k where host is not null group by host)
+select page_id, case when path like '/' || x || '/7%' then true when path like '/' || x || '/%' then false when path like '%9' then true else path not like '/%/5%' or path not like '/fr/%' end as allowed from k join h using (host)""")
+def robots_allow(spark, sf_dir):
+    """Whether pages may be fetched, by a robots file of each host: one section open, but for some pages."""
+    pages = _pages(spark, sf_dir).where("host is not null")
+    own = pages.groupBy("host").agg(F.min(F.split(urls.part(F.col("url"), 3), "/")[1]).alias("x"))
+    body = F.concat(F.lit("# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /"), "x", F.lit("/7\nDisallow: /"), "x", F.lit("/\nDisallow: /fr/5\n"))
+    rows = pages.join(own.select("host", body.alias("rp_body")), "host")
+    return robots.with_allowed(rows, "linkloom").select("page_id", "allowed")
+
+
+@query(f"with {_PAGES} select distinct 'http://' || host || '/map.xml' as base, url, false as is_sitemap from p where host is not null union all select distinct 'http://' || host || '/map.xml', 'http://' || host || '/more.xml', true from p where host is not null")
+def sitemap_entries(spark, sf_dir):
+    """Sitemaps of the pages of each host, with entities, comments and marked sections."""
+    entry = F.concat(F.lit("<url><!-- <loc>x</loc> --><loc><![CDATA["), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("]]></loc><lastmod>2024</lastmod></url>"))
+    bodies = _pages(spark, sf_dir).where("host is not null").select("host", entry.alias("e")).distinct().groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("e")), "\n").alias("e"))
+    body = F.concat(F.lit("<?xml version='1.0'?><urlset>"), "e", F.lit("<sitemap><loc> /more.xml </loc></sitemap></urlset>"))
+    return sitemap.parsed(bodies.select(F.concat(F.lit("http://"), "host", F.lit("/map.xml")).alias("url"), body.alias("body"))).select("base", "url", "is_sitemap")
+
+
+@query(f"with {_PAGES} select distinct 'http://' || host || '/map' || n || '.xml' as url from p, (values (1), (2)) as v(n) where host is not null")
+def robots_sitemaps(spark, sf_dir):
+    """The sitemaps that robots files name, absolute and relative."""
+    h = _pages(spark, sf_dir).where("host is not null").select("host").distinct()
+    body = F.concat(F.lit("User-agent: *\nSitemap: /map1.xml\nSitemap: http://"), "host", F.lit("/map2.xml\nsitemap: /no.xml\n"))
+    return robots.sitemaps(h.select(F.concat(F.lit("http://"), "host", F.lit("/robots.txt")).alias("url"), body.alias("body"))).select("url")
+
+
 @query(f"with {_LINKS} select sha1(url) as fingerprint, min(page_id) as first_page from l group by url")
 def links_explode_dedup(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages")
-    found = sitemap.page_links(pages).join(pages.select("page_id", F.col("url").alias("base")), "base").select(F.sha1("url").alias("fingerprint"), "page_id", "place")
+    found = sitemap.page_links(pages).select(F.sha1("url").alias("fingerprint"), "page_id", "place")
     return states.first_wins(found.withColumn("at", F.struct("page_id", "place")), order="at").select("fingerprint", F.col("page_id").alias("first_page"))
 
 
-@query(f"with {_LINKS} select {_HOST} as host, count(*) as n from (select distinct url from l) group by 1")
+@query(f"with {_LINKS} select {_HOST} as host, list_sort(list(sha1(url))) as links, count(*) as n from (select distinct url from l) group by 1")
 def links_per_host(spark, sf_dir):
     found = sitemap.page_links(_t(spark, sf_dir, "pages")).select("url").distinct()
-    return log.per_host(found.select("url", urls.host(F.col("url")).alias("host"), F.sha1("url").alias("fingerprint"))).select("host", "n")
+    grouped = log.per_host(found.select("url", urls.host(F.col("url")).alias("host"), F.sha1("url").alias("fingerprint")))
+    return grouped.select("host", F.transform("links", lambda x: x["fingerprint"]).alias("links"), "n")
 
 
 @query(f"with {_LINKS}, a as (select distinct base as parent, url as child from l), u as (select parent as url, 1 as o, 0 as i from a union all select child, 0, 1 from a) select url, cast(sum(o) as bigint) as links, cast(sum(i) as bigint) as referers from u group by url")
@@ -463,12 +554,14 @@ def sampled_per_domain(spark, sf_dir):
     return domains.sampled(_t(spark, sf_dir, "documents").select("doc_id", "source"), 7, "source", "doc_id", 9)
 
 
-@query("with d as (select source as domain, count(*) as n from documents group by source) select user_id as id, 'src' || (user_id % 40) as domain, coalesce(cast(d.n as integer), -1) as queued_pages, coalesce(d.n >= 45, false) as ignored from (select distinct user_id from events) e left join d on d.domain = 'src' || (user_id % 40)")
+@query("with d as (select source as domain, count(*) as n, min(doc_id) % 4 = 0 as dead, min(doc_id) % 5 = 1 as banned from documents group by source) select user_id as id, 'src' || (user_id % 40) as domain, coalesce(cast(d.n as integer), -1) as queued_pages, coalesce(d.n >= 45 or dead or banned, false) as ignored, coalesce(not dead, true) as accessible from (select distinct user_id from events) e left join d on d.domain = 'src' || (user_id % 40)")
 def domain_metadata_default(spark, sf_dir):
-    table = domains.queued(_t(spark, sf_dir, "documents").select(F.col("source").alias("domain"))).withColumns({"fatal_error": F.lit(None).cast("string"), "banned": F.lit(False)})
+    d = _t(spark, sf_dir, "documents").select(F.col("source").alias("domain"), "doc_id")
+    marks = d.groupBy("domain").agg(F.min("doc_id").alias("m")).select("domain", F.when(F.col("m") % 4 == 0, "DNSLookupError").alias("fatal_error"), (F.col("m") % 5 == 1).alias("banned"))
+    table = domains.queued(d).join(marks, "domain")
     rows = _t(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct().withColumn("domain", F.concat(F.lit("src"), (F.col("id") % 40).cast("string")))
-    known = domains.with_domain_state(rows, table.select("domain", "queued_pages", "banned"), {"queued_pages": -1, "banned": False}).withColumn("fatal_error", F.lit(None).cast("string"))
-    return known.select("id", "domain", "queued_pages", domains.ignored(45).alias("ignored"))
+    known = domains.with_domain_state(rows, table, {"queued_pages": -1, "banned": False, "fatal_error": None})
+    return known.select("id", "domain", "queued_pages", domains.ignored(45).alias("ignored"), domains.accessible().alias("accessible"))
 
 
 @query("select source as domain, list_slice(list_sort(list_distinct(list(lang))), 1, 3) as langs, count(*) as n from documents group by source")
@@ -516,10 +609,23 @@ def domain_stats_window(spark, sf_dir):
     return stats.pushed_by_host(e).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("select event_type as type, count(*) as n, cast(0 as bigint) as links, max(event_id) as last_seq from events group by event_type")
+@query("select event_type as type, count(*) as n, cast(coalesce(sum(case when user_id % 5 <> 0 then user_id % 4 end), 0) as bigint) as links, max(event_id) as last_seq from events group by event_type")
 def event_counters(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("type"), F.array().cast("array<string>").alias("links"), F.col("event_id").alias("seq"))
-    return stats.counters(e)
+    links = F.when(F.col("user_id") % 5 != 0, F.array_repeat(F.lit("x"), (F.col("user_id") % 4).cast("int")))
+    return stats.counters(_t(spark, sf_dir, "events").select(F.col("event_type").alias("type"), links.alias("links"), F.col("event_id").alias("seq")))
+
+
+@query("""with e as (select 'http://h' || user_id || '.com/' as url, case when event_type <> 'view' then event_type end as status, case when event_id % 3 > 0 then 'http://h' || (event_id % 50) || '.com/' end as parent, user_id % 10 = 0 as is_seed from events),
+g as (select url, max(coalesce(is_seed, false)::int) as seed, count(status) > 0 as answered, count(distinct parent) as parents from (select * from e union all select 'http://none' || (user_id % 9) || '.com/', null, 'http://h' || user_id || '.com/', false from events) group by url)
+select count(*) as pages_added, cast(sum(seed) as bigint) as seeds_count, cast(sum(parents) as bigint) as links_added, cast(sum((not answered)::int) as bigint) as pages_removed, cast(sum(case when not answered then parents end) as bigint) as links_removed,
+cast(sum(answered::int) as bigint) as pages_count, cast(sum(case when answered then parents end) as bigint) as links_count from g""")
+def recorder_counters(spark, sf_dir):
+    """A recorded crawl in which some pages are linked but never answer."""
+    url = lambda n: F.concat(F.lit("http://h"), n.cast("string"), F.lit(".com/"))
+    e = _t(spark, sf_dir, "events")
+    seen = e.select(url(F.col("user_id")).alias("url"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("status"), F.when(F.col("event_id") % 3 > 0, url(F.col("event_id") % 50)).alias("parent"), (F.col("user_id") % 10 == 0).alias("is_seed"), F.col("event_id").alias("seq"))
+    silent = e.select(F.concat(F.lit("http://none"), (F.col("user_id") % 9).cast("string"), F.lit(".com/")).alias("url"), F.lit(None).cast("string").alias("status"), url(F.col("user_id")).alias("parent"), F.lit(False).alias("is_seed"), F.col("event_id").alias("seq"))
+    return graph.recorder_counters(seen.unionByName(silent))
 
 
 @query("select event_type || '_' || user_id as key, sum(cast(round(value * 100) as bigint))::bigint as value from events where event_type in ('click', 'error') group by 1")
@@ -536,14 +642,51 @@ def log_filters(spark, sf_dir):
 
 @query("select cast(event_id as bigint) as seq, cast(user_id as varchar) as fingerprint, value as score, event_type = 'view' as schedule from events")
 def event_codec(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").select(F.lit("update_score").alias("type"), F.col("user_id").cast("string").alias("fingerprint"), F.col("value").alias("score"), (F.col("event_type") == "view").alias("schedule"), F.col("event_id").alias("seq"))
+    e = _updates(spark, sf_dir)
     return log.decoded(log.encoded(e)).select("seq", "fingerprint", "score", "schedule")
 
 
-@query("select user_id, max(ts) + interval 1 day as crawl_at from events where event_type = 'view' group by user_id having max(ts) + interval 1 day <= timestamp '2024-01-20'")
+def _updates(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select(F.lit("update_score").alias("type"), F.col("user_id").cast("string").alias("fingerprint"), F.col("value").alias("score"), (F.col("event_type") == "view").alias("schedule"), F.col("event_id").alias("seq"))
+
+
+@query("select cast(event_id as bigint) as seq, event_id % 3 = 1 as cut, event_id % 3 = 2 as strange from events where event_id % 3 > 0")
+def event_codec_broken(spark, sf_dir):
+    """Messages that were cut, or are of no known type."""
+    messages = log.encoded(_updates(spark, sf_dir).withColumn("n", F.col("seq"))).withColumn("n", F.get_json_object("value", "$.n").cast("bigint"))
+    value = F.when(F.col("n") % 3 == 1, F.expr("left(value, length(value) - 5)")).when(F.col("n") % 3 == 2, F.replace("value", F.lit("update_score"), F.lit("other"))).otherwise(F.col("value"))
+    return log.broken(messages.withColumn("value", value)).select(F.col("n").alias("seq"), (~F.col("value").endswith("}")).alias("cut"), F.col("value").contains('"other"').alias("strange"))
+
+
+@query("select 'http://h' || user_id || '.com/' as url, value as score, event_type = 'view' as schedule, '{\"k\": ' || event_id || '}' as meta from events")
+def wire_codec(spark, sf_dir):
+    """Scores as messages of existing fetchers, in which every value says its type, and back."""
+    e = _t(spark, sf_dir, "events")
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = e.select(
+        F.lit("update_score").alias("type"), null("int").alias("jid"), null("int").alias("partition_id"), null("bigint").alias("offset"), F.concat(F.lit("http://h"), F.col("user_id").cast("string"), F.lit(".com/")).alias("url"), F.lit("GET").alias("method"),
+        F.concat(F.lit('{"k": '), F.col("event_id").cast("string"), F.lit("}")).alias("meta"), null("array<struct<url:string,method:string,meta:string>>").alias("links"), null("int").alias("status_code"), null("string").alias("body"), null("string").alias("error"),
+        F.col("value").alias("score"), (F.col("event_type") == "view").alias("schedule"), null("string").alias("stats"),
+    )
+    return wire.decoded(wire.encoded(rows)).select("url", "score", "schedule", "meta")
+
+
+@query("select user_id, max(ts) as fetched_at, max(ts) + interval 36 hour as crawl_at from events where event_type = 'view' group by user_id having max(ts) + interval 36 hour <= timestamp '2024-01-31'")
 def revisit_due(spark, sf_dir):
-    last = _t(spark, sf_dir, "events").where("event_type = 'view'").groupBy("user_id").agg((F.max("ts") + F.expr("interval 1 day")).alias("crawl_at"))
-    return last.where("crawl_at <= timestamp_ntz'2024-01-20'")
+    last = _t(spark, sf_dir, "events").where("event_type = 'view'").groupBy("user_id").agg(F.max("ts").alias("fetched_at"))
+    return metadata.due(last, dt.timedelta(hours=36), F.lit("2024-01-31").cast("timestamp_ntz"))
+
+
+@query(f"""with {_QUEUE}, o as (select cast(user_id % 8 as integer) as partition_id, event_id as seq, event_id as producer_offset, event_id - cast(floor(value) as bigint) as "offset" from events where user_id % 8 <> 6),
+r as (select partition_id, max_by(producer_offset - "offset", seq) < 12 or max_by("offset", seq) = 0 as ready from o where producer_offset >= "offset" group by partition_id),
+w as (select * from q where partition_id in (0, 1, 2, 3, 5, 6) and partition_id not in (select partition_id from r where not ready)), c as (select * from (select *, row_number() over (partition by partition_id, host order by {_DESC}) as turn from w where crawl_at <= {_NOW}) where turn <= 2),
+b as (select *, cast(row_number() over (partition by partition_id order by {_DESC}) as integer) as place from c) select id, partition_id, host, place, 7 as jid, host in (select 'c' || c_custkey || '.example.com' from customer where c_mktsegment = 'BUILDING') as dropped from b where place <= 12""")
+def batch_tick(spark, sf_dir):
+    """A tick of the batch generator: ready and assigned partitions, due rows, host cap, blacklist, the job's number."""
+    e = _t(spark, sf_dir, "events").where("user_id % 8 <> 6").select((F.col("user_id") % 8).cast("int").alias("partition_id"), F.col("event_id").alias("seq"), F.col("event_id").alias("producer_offset"), (F.col("event_id") - F.floor("value")).alias("offset"))
+    bad = _t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string"), F.lit(".Example.com")).alias("host"))
+    batch = batches.planned(_queue(spark, sf_dir), e, Settings(max_next_requests=12, bc_max_requests_per_host=2), [0, 1, 2, 3, 5, 6], 7, _NOW, bad)
+    return batch.select(*_OUT, "jid", "dropped")
 
 
 @query("with d as (select distinct user_id from events where event_type = 'purchase') select e.user_id as host, case when d.user_id is null then 'h' || e.user_id || '.com' else md5(e.user_id || '') end as ip, count(*) as n from events e left join d on d.user_id = e.user_id group by 1, 2")
@@ -561,13 +704,13 @@ def seeds_robots(spark, sf_dir):
     return seeds.robots(seeds.completed(_t(spark, sf_dir, "pages").select("url"))).select("url", "score")
 
 
-_STRATEGY = f"with {_LINKS}, f as (select sha1(url) as fingerprint, url, min(page_id) as seq from l group by url), n as (select * from f where url not in (select url from pages)) select fingerprint, url, {{0}} as score from n"
+_STRATEGY = f"with {_LINKS}, f as (select sha1(url) as fingerprint, url, min(page_id) as seq from l group by url), n as (select *, seq % 5 + 1 as d from f where url not in (select url from pages)) select fingerprint, url, {{0}} as score from n"
 
 
 def _strategy(spark, sf_dir, strategy):
+    """Links of pages at depths 0 to 4."""
     pages = _t(spark, sf_dir, "pages")
-    found = sitemap.page_links(pages).join(pages.select("page_id", F.col("url").alias("base")), "base")
-    links = found.select(F.sha1("url").alias("fingerprint"), "url", F.lit(0).alias("parent_depth"), F.struct("page_id", "place").alias("seq"))
+    links = sitemap.page_links(pages).select(F.sha1("url").alias("fingerprint"), "url", (F.col("page_id") % 5).cast("int").alias("parent_depth"), F.struct("page_id", "place").alias("seq"))
     known = pages.select(F.sha1("url").alias("fingerprint"), F.lit(2).alias("state"))
     return strategies.schedule(strategy, links, known).select("fingerprint", "url", "score")
 
@@ -577,12 +720,12 @@ def strategy_basic(spark, sf_dir):
     return _strategy(spark, sf_dir, strategies.Basic())
 
 
-@query(_STRATEGY.format("0.5::double"))
+@query(_STRATEGY.format("1.0::double - d / (d + 1.0::double)"))
 def strategy_breadth_first(spark, sf_dir):
     return _strategy(spark, sf_dir, strategies.BreadthFirst())
 
 
-@query(_STRATEGY.format("0.5::double"))
+@query(_STRATEGY.format("d / (d + 1.0::double)"))
 def strategy_depth_first(spark, sf_dir):
     return _strategy(spark, sf_dir, strategies.DepthFirst())
 
@@ -596,6 +739,25 @@ def strategy_discovery(spark, sf_dir):
     return strategy.links(strategy.filter_links(rows)).select("page_id", "domain", "score")
 
 
+@query(f"""with {_LINKS}, own as (select base as url, min(page_id) as page_id from l group by base), linked as (select own.page_id, l.url, regexp_extract(l.base, '//([^/?#]*)', 1) as origin from own join l on l.base = own.url),
+y as (select page_id, url, array_to_string(string_split(origin, '.')[-2:], '.') as domain, {_HOST} as host from linked), z as (select url, host, domain, min(page_id) as seq, array_to_string(list_transform(string_split({_CANONICAL}, ''), lambda ch: case when regexp_matches(ch, '[^!-~]') then url_encode(ch) else ch end), '') as canon from y where array_to_string(string_split(host, '.')[-2:], '.') = domain group by 1, 2, 3, 5),
+f as (select min_by(url, struct_pack(seq := seq, url := url)) as url, min_by(host, struct_pack(seq := seq, url := url)) as host, any_value(domain) as domain, canon from z group by canon), crc as (select host, {_CRC.format('host')} as u, case when u >= 2147483648 then u - 4294967296 else u end as s from (select distinct host from f)),
+k as (select *, case when regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) = '' and regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) in ('', '/', '/index.html', '/index.htm', '/default.htm', '/default.html') then 0 else 2 end as c from f),
+t as (select *, row_number() over (partition by domain order by c, md5(sha1(canon) || '-0'), sha1(canon)) as turn from k)
+select sha1(canon) as fingerprint, floor(abs(s) / 2147483647.0::double * 10) / 10.0::double + greatest(0.01::double, (case when c = 0 then 0.8::double else 0.5::double end) - 0.01::double) / 10.0::double as score from t join crc using (host) where turn <= 200""")
+def discovery_step(spark, sf_dir):
+    """The whole step of a stream's batch, on an empty store: all pages' links, within their domain and its budget."""
+    store = FrontierStore(spark, place(spark))
+    links = sitemap.page_links(_t(spark, sf_dir, "pages"))
+    one = F.struct("place", F.struct(F.col("url"), F.lit(None).cast("string").alias("fingerprint"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("int").alias("depth")).alias("link"))
+    pages = links.groupBy(F.col("base").alias("url")).agg(F.min("page_id").alias("seq"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["link"]).alias("links"))
+    rows = pages.withColumns({"type": F.lit("links_extracted"), "depth": F.lit(0), "fingerprint": F.sha1("url")})
+    fields = spark.createDataFrame([], schema.EVENT).schema
+    events = rows.select(*(rows[f.name].cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+    pipelines.step(events, store, strategies.Discovery(max_pages=200), 4)
+    return store.read("queue").select("fingerprint", "score")
+
+
 @query("select event_type as type, time_bucket(interval '300 seconds', ts) as start, count(*) as n from events group by 1, 2")
 def stream_counts(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("type"), F.col("ts").cast("timestamp").alias("ts"))

@@ -16,6 +16,7 @@ class Settings:
     spider_log_partitions: int = 1
     queue_hostname_partitioning: bool = False
     queue_order: str = "score_desc"
+    broad_crawl: bool = False  # batches by ``queue.tiered_batch``, under the minimums below
     bc_min_requests: int = 64
     bc_min_hosts: int = 24
     bc_max_requests_per_host: int = 128

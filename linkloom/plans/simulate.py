@@ -12,12 +12,16 @@ from linkloom.sources.store import kept
 SCORES = {"basic": lambda d: F.lit(1.0), "breadth_first": scoring.breadth_first, "depth_first": scoring.depth_first}
 
 
-def crawl(links: DataFrame, seeds: DataFrame, strategy: str = "breadth_first", order: str = "score_desc", max_next: int = 64, rate: int | None = None, rounds: int = 10_000) -> DataFrame:
+def crawl(links: DataFrame, seeds: DataFrame, strategy: str = "breadth_first", order: str = "score_desc", max_next: int = 64, rate: int | None = None, rounds: int = 10_000, add_all: bool = False) -> DataFrame:
     """url, iteration, place of each request. links: parent, child, place (order on the page); seeds: url, place.
 
     Each round takes the first ``max_next`` of the queue by ``order``, fetches them, and queues their links that were not
     queued or fetched before. ``rate``: requests of a host (the URL up to its first ``/``, if there is no scheme) in a round;
-    the others wait."""
+    the others wait. add_all: every page and link is a seed, after those given."""
+    if add_all:
+        last = seeds.agg(F.coalesce(F.max("place") + 1, F.lit(0))).first()[0]
+        all_ = links.select(F.col("parent").alias("url"), F.lit(0).alias("side")).union(links.select("child", F.lit(1))).groupBy("url").agg(F.min("side").alias("side")).join(seeds.select("url"), "url", "left_anti")
+        seeds = seeds.select("url", "place").unionByName(all_.select("url", (F.row_number().over(Window.orderBy("side", "url")) - 1 + last).alias("place")))
     spark = links.sparkSession
     score = SCORES[strategy]
     # Links of one page lie in few rows: a round is a join of its batch with the links, and what it keeps is written out.
@@ -46,6 +50,15 @@ def crawl(links: DataFrame, seeds: DataFrame, strategy: str = "breadth_first", o
     return done if done is not None else spark.createDataFrame([], "url string, iteration int, place int")
 
 
+def fetched(waiting: DataFrame, rate: int) -> tuple[DataFrame, DataFrame]:
+    """A round of a fetcher that takes ``rate`` requests of each host (url, host, created_at, id): those taken, and the hosts that
+    still have some waiting, as it reports them to be overused."""
+    turn = F.row_number().over(Window.partitionBy("host").orderBy("created_at", "id"))
+    taken = waiting.withColumn("_turn", turn).where(F.col("_turn") <= rate).drop("_turn")
+    more = waiting.groupBy("host").agg(F.count("*").alias("waiting")).where(F.col("waiting") > rate).select("host", (F.col("waiting") - rate).alias("waiting"))
+    return taken, more
+
+
 def run(spark: SparkSession, graph: list[tuple[str, list[str]]], seeds: list[str], **options) -> list[str]:
     """The order in which a small graph of (page, its links) is crawled."""
     links = spark.createDataFrame([(p, c, k) for p, own in graph for k, c in enumerate(own)] or [], "parent string, child string, place int")

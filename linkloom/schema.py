@@ -16,12 +16,16 @@ QUEUE = (
 )
 DOMAINS = (
     "domain string, queued_pages int, fatal_error string, banned boolean, seed string, rp_url string, rp_body string, rp_timestamp bigint, "
-    "subdomains array<string>, redirect_to array<string>, redirect_from array<string>, extra map<string,string>"
+    "subdomains array<string>, redirect_to array<string>, redirect_from array<string>, extra map<string,string>, rp_rules array<struct<path:string,allow:boolean>>, seq bigint"
 )
+PENDING = QUEUE + ", seq bigint"
+OFFSETS = "partition_id int, offset bigint, producer_offset bigint, seq bigint"
+STATS = "ts timestamp, partition_id int, key string, value double"
+GONE = "id bigint, fingerprint string"
 LINK = "struct<url:string,fingerprint:string,host:string,depth:int>"
 EVENT = (
     "type string, jid int, partition_id int, offset bigint, url string, fingerprint string, depth int, "
-    f"links array<{LINK}>, status_code int, headers map<string,array<string>>, body binary, error string, score double, schedule boolean, stats map<string,double>, ts timestamp, seq bigint"
+    f"links array<{LINK}>, status_code int, headers map<string,array<string>>, body binary, error string, score double, schedule boolean, stats map<string,double>, ts timestamp, seq bigint, meta map<string,string>, redirect_urls array<string>, producer_offset bigint, method string, cookies map<string,string>, domain_fingerprint string"
 )
 EVENT_TYPES = ("page_crawled", "links_extracted", "request_error", "request", "update_score", "new_job_id", "offset", "stats", "add_seeds")
 PAGES = "id bigint, url string, status string, n_redirects int, is_seed boolean"

@@ -16,37 +16,44 @@ from linkloom.sources import events as log
 from linkloom.sources.store import FrontierStore, kept
 
 
-def step(events: DataFrame, store: FrontierStore, strategy: Basic, partitions: int, epoch: int | None = None, jid: int | None = None) -> int:
-    """One batch of events (schema.EVENT): states and metadata follow pages, errors and links; new links are scored by the
-    strategy, those scheduled are queued. Events of another job are dropped. Returns the epoch."""
+def step(events: DataFrame, store: FrontierStore, strategy: Basic, partitions: int, epoch: int | None = None, jid: int | None = None, content: bool = False) -> int:
+    """One batch of events (schema.EVENT) as one epoch, which is returned. States and metadata follow pages, errors, links and
+    redirects; what the strategy schedules is queued; offsets and statistics go to their tables. With ``jid``, events of another
+    job are dropped: jid is the store's job, or the one given if it has none yet, and new_job_id events change it for all that
+    come after them."""
     if epoch is not None and epoch <= store.epoch:
         return store.epoch
-    events = kept(events if jid is None else log.of_job(events, jid))
-    pages = events.where("type = 'page_crawled'")
-    errors = events.where("type = 'request_error'")
-    extracted = events.where("type = 'links_extracted'")
-    links = metadata.links(extracted).where("fingerprint is not null")
-    ordered = links.select("url", "fingerprint", (F.col("depth") - 1).alias("parent_depth"), F.struct("seq", "place").alias("at"), "seq", "host")
-    fresh = states.not_crawled(states.first_wins(strategy.filter_links(ordered), order="at"), store.read("states"))
-    scored = kept(strategy.links(fresh))
-    updates = events.where("type = 'update_score'")
-    direct = states.not_crawled(states.first_wins(updates.where("fingerprint is not null").select("url", "fingerprint", "depth", "score", "schedule", "seq", F.col("seq").alias("at"))), store.read("states"))
-    direct = direct.join(scored.select("fingerprint"), "fingerprint", "left_anti")
-    ready = kept(scored.select("url", "fingerprint", "depth", "score", "schedule", "seq", "at.place").unionByName(direct.select("url", "fingerprint", "depth", "score", "schedule", "seq", F.lit(0).alias("place"))))
-    number = F.col("seq") * F.lit(1 << 16) + F.col("place")
-    queued = queue.scheduled(ready, partitions).withColumns({"id": number, "created_at": number}).drop("seq", "place")
-    marks = metadata.changed_states(events.where("type in ('page_crawled', 'request_error')")).unionByName(ready.where("schedule").select("fingerprint", F.lit(1).cast("tinyint").alias("state"), "seq"))
-    changes = metadata.page_crawled(pages)
-    for other in (metadata.request_error(errors), ready.select("fingerprint", "url", "depth", "score", "seq")):
+    number = epoch if epoch is not None else store.epoch + 1
+    job = None
+    if jid is not None:
+        job = store.jid or jid
+        # Of a batch, the few events that change the job, in one row.
+        changes = events.where("type = 'new_job_id'").agg(F.array_sort(F.collect_list(F.struct("seq", "jid"))).alias("_jobs"))
+        last = F.try_element_at(F.filter("_jobs", lambda x: x["seq"] <= F.col("seq")), F.lit(-1))
+        events = events.crossJoin(F.broadcast(changes)).where((F.col("type") == "new_job_id") | (F.col("jid") == F.coalesce(last["jid"], F.lit(job)))).drop("_jobs")
+    events = kept(events)
+    if jid is not None:
+        job = events.where("type = 'new_job_id'").agg(F.max_by("jid", "seq")).first()[0] or job
+    rows, domains = strategy.outcome(events, store)
+    id_ = F.xxhash64("fingerprint", F.lit(number))  # of a link and an epoch: the same if the epoch is written again
+    created = F.col("seq") * F.lit(1 << 20) + F.least("place", F.lit((1 << 20) - 1))  # an order; ties fall to id
+    queued = queue.scheduled(rows, partitions).withColumns({"id": id_, "created_at": created}).drop("seq", "place")
+    marks = metadata.changed_states(events.where("type in ('page_crawled', 'request_error')")).unionByName(rows.where("schedule").select("fingerprint", F.lit(1).cast("tinyint").alias("state"), "seq"))
+    changes = metadata.page_crawled(events.where("type = 'page_crawled'"), content)
+    moved = events.where("type = 'page_crawled' and size(redirect_urls) > 0")
+    hops = metadata.redirects(moved.withColumn("redirect_fingerprints", F.transform("redirect_urls", lambda u: F.sha1(urls.canonical(u)))))
+    for other in (metadata.request_error(events.where("type = 'request_error'")), rows.select("fingerprint", "url", "depth", "score", "meta", "seq"), hops):
         changes = changes.unionByName(other, allowMissingColumns=True)
-    return store.commit(
-        {
-            "queue": store.read("queue").unionByName(queued, allowMissingColumns=True),
-            "metadata": states.upsert(store.read("metadata"), changes.where("fingerprint is not null")),
-            "states": states.upsert(store.read("states"), states.last_wins(marks)),
-        },
-        epoch,
-    )
+    found = {
+        "queue": [("put", queued)],
+        "metadata": [("put", states.latest(changes.where("fingerprint is not null"), "fingerprint", "seq"))],
+        "states": [("put", states.last_wins(marks))],
+        "offsets": [("put", events.where("type = 'offset'").select("partition_id", "offset", "producer_offset", "seq"))],
+        "stats": [("put", events.where("type = 'stats'").select("ts", "partition_id", F.explode("stats").alias("key", "value")))],
+    }
+    if domains is not None:
+        found["domains"] = [("put", domains)]
+    return store.commit(found, epoch, job)
 
 
 def run(events: DataFrame, store: FrontierStore, strategy: Basic, checkpoint: str, partitions: int = 1, jid: int | None = None, every: str | None = None) -> StreamingQuery:
@@ -64,5 +71,6 @@ def feed(batch: DataFrame, n: int, by_host: bool) -> DataFrame:
     """Requests of a batch as messages of the fetchers' feed, partitioned by host or by fingerprint."""
     host = urls.host(F.col("url"))
     at = hashing.crc_partition(host, n) if by_host else hashing.fingerprint_partition(F.col("fingerprint"), n)
-    body = F.to_json(F.struct(F.lit("request").alias("type"), "url", "fingerprint", "score"))
+    more = [c for c in ("jid", "depth", "meta") if c in batch.columns]
+    body = F.to_json(F.struct(F.lit("request").alias("type"), "url", "fingerprint", "score", *more))
     return batch.select(F.col("fingerprint").alias("key"), body.alias("value"), at.alias("partition_id"))

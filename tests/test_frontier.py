@@ -74,7 +74,7 @@ def events(spark):
     return spark.createDataFrame([tuple(r.get(x.split()[0]) for x in FIELDS) for r in rows], schema.EVENT)
 
 
-FIELDS = ["type", "jid", "partition_id", "offset", "url", "fingerprint", "depth", "links", "status_code", "headers", "body", "error", "score", "schedule", "stats", "ts", "seq"]
+FIELDS = ["type", "jid", "partition_id", "offset", "url", "fingerprint", "depth", "links", "status_code", "headers", "body", "error", "score", "schedule", "stats", "ts", "seq", "meta", "redirect_urls", "producer_offset", "method", "cookies", "domain_fingerprint"]
 
 
 def test_metadata_changes(spark):
