@@ -3,11 +3,14 @@
 A passage is a run of ``min_words`` words (separated by white space, compared byte for byte). Every passage that stands
 at two places or more is found, in whole texts. The array holds the suffixes that begin at an anchor: of each passage, the
 first of the positions in its first half whose three words have the least hash. Equal passages have equal anchors, so the
-array loses no repeat, and it is a twelfth of the full one. Each anchor carries a hash of every passage that chose it.
+array loses no repeat, and it is a twelfth of the full one. Each anchor carries a hash of every passage that chose it. With
+``every``, and for passages of under eight words, all suffixes are in the array, each with its own passage.
 
-Splitters are sampled from the suffixes and range-partition them by their leading words. Each bucket sorts its suffixes
-by multikey quicksort and compares the passages of suffixes that agree. A suffix that occurs often may itself be a splitter
-and then lie in several buckets, which keeps them even; such runs are compared across the boundaries in a second step.
+Splitters are sampled from the suffixes and range-partition them by their leading words; the sample and the ranges are bounded
+(``ranges``), and a range is cut evenly between its splitters into the buckets that the size of the table asks for. Each bucket
+sorts its suffixes by multikey quicksort and compares the passages of suffixes that agree. A suffix that occurs often may itself
+be a splitter and then lie in several ranges, which keeps them even; such runs are compared across the boundaries in a second
+step.
 
 Of the places of a passage, the one of least doc_id (null last), then least text hash, then position is the original; the
 others are repeats. Rows equal in doc_id and text are one document. Rows of equal doc_id but different text are different
@@ -27,26 +30,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm import text as tx
-from linkloom.llm.storage import kept, row_key, width
+from linkloom.llm.storage import kept, row_key, size, width
 
 _SPLIT = "w0 long, w1 long, w2 long, tie long"
-_PACKED = "bucket int, ids binary, nulls binary, keys binary, docs binary, starts binary, counts binary, w0 binary, w1 binary, w2 binary, windows binary"
+_PACKED = "bucket int, sub int, ids binary, nulls binary, keys binary, docs binary, starts binary, counts binary, hots binary, w0 binary, w1 binary, w2 binary, windows binary"
 _FOUND = "key long, doc_id long, original boolean, begin int, end int, window long, places int"
-_HOT = np.uint8(128)
 
 
 @dataclass(frozen=True)
 class Rules:
-    """min_words: length of a passage. bucket_mb: text aimed at for a bucket. sample: suffixes sampled for each bucket."""
+    """min_words: length of a passage, 2 at least. bucket_mb: text aimed at for a bucket. sample: suffixes sampled for each range.
+    ranges: most ranges, and so what the driver sees. every: all suffixes instead of the anchored ones."""
 
     min_words: int = 50
     bucket_mb: int = 8
-    sample: int = 64
+    sample: int = 128
+    ranges: int = 1 << 13
+    every: bool = False
     flush: int = 1 << 23
 
+    def __post_init__(self) -> None:
+        if not 2 <= self.min_words < 1 << 20 or self.ranges < 1:
+            raise ValueError("a passage has 2 to 1048575 words, and there is one range at least")
+
     @property
     def reach(self) -> int:  # an anchor is one of the first so many words of its passage
-        return self.min_words // 2
+        return 1 if self.every or self.min_words < 8 else self.min_words // 2
 
 
 @dataclass
@@ -95,12 +104,16 @@ def suffixes(piece: tx.Slice, rules: Rules) -> Suffixes:
     ups, downs = tx.powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(hashed * ups[:n], out=sums[1:])
+    half = np.uint64(32)
+    top = np.append(hashed >> half, np.zeros(3, np.uint64))
+    if reach == 1:
+        passages = _spans(sums, downs, starts, size)
+        lead = [np.where(k < size, top[starts + k], np.uint64(0)) for k in range(4)]
+        return Suffixes(doc[starts], starts - where[doc[starts]], np.ones(len(starts), np.int64), np.stack([(lead[0] << half) | lead[1], (lead[2] << half) | lead[3], passages]), passages)
     order = tx.mix(hashed[:-2] + hashed[1:-1] * np.uint64(0x9FB21C651E98DF25) + hashed[2:] * np.uint64(0xD1B54A32D192ED03))
     anchor = _least(order, reach)[starts]
     first = tx.runs(anchor)
     at = anchor[first]
-    half = np.uint64(32)
-    top = hashed >> half
     words = np.stack([(top[at] << half) | top[at + 1], (top[at + 2] << half) | top[at + 3], _spans(sums, downs, at + 4, size - reach + 1 - 4)])
     owner = doc[at]
     return Suffixes(owner, starts[first] - where[owner], np.diff(np.append(first, len(starts))), words, _spans(sums, downs, starts, size))
@@ -184,7 +197,17 @@ def bucket(words: np.ndarray, tie: np.ndarray, splits: np.ndarray) -> tuple[np.n
     return at, hot
 
 
-def _pack(held: list, splits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _within(words: np.ndarray, at: np.ndarray, splits: np.ndarray, subs: int) -> np.ndarray:
+    """Which of ``subs`` even parts of its range each suffix lies in, by its first key; keys are hashes, so they lie evenly."""
+    if subs <= 1:
+        return np.zeros(len(at), np.int32)
+    lows = np.append(np.uint64(0), splits[0]).astype(np.float64)
+    highs = np.append(splits[0], np.uint64((1 << 64) - 1)).astype(np.float64)
+    low, size = lows[at], np.maximum(highs[at] - lows[at], 1.0)
+    return np.clip(((words[0].astype(np.float64) - low) / size * subs).astype(np.int64), 0, subs - 1).astype(np.int32)
+
+
+def _pack(held: list, splits: np.ndarray, subs: int) -> Iterator[pa.RecordBatch]:
     """Rows by bucket of what was collected: (ids, nulls, keys, suffixes) of slices."""
     base = np.cumsum([0, *(len(x[0]) for x in held)])
     ids, nulls, keys = (np.concatenate([x[k] for x in held]) for k in range(3))
@@ -195,23 +218,25 @@ def _pack(held: list, splits: np.ndarray) -> Iterator[pa.RecordBatch]:
     if len(doc) == 0:
         return
     to, hot = bucket(words, _tie(keys[doc], start), splits)
-    flags = count.astype(np.uint8) | np.where(hot, _HOT, np.uint8(0))
+    to = to.astype(np.int64) * subs + _within(words, to, splits, subs)
+    flags = hot.astype(np.uint8)
     order = np.argsort(to, kind="stable")
     windows = windows[tx.ragged((np.cumsum(count) - count)[order], count[order])]
     to, doc, start, count, flags, words = to[order], doc[order], start[order], count[order], flags[order], words[:, order]
     seen = np.cumsum(np.append(0, count))
     firsts = tx.runs(to)
-    rows: list[list] = [[] for _ in range(11)]
+    rows: list[list] = [[] for _ in range(13)]
     for a, b in zip(firsts, np.append(firsts[1:], len(to))):
         used, local = np.unique(doc[a:b], return_inverse=True)
-        own = (ids[used], nulls[used], keys[used], local.astype(np.int32), start[a:b].astype(np.int32), flags[a:b], words[0, a:b], words[1, a:b], words[2, a:b], windows[seen[a] : seen[b]])
-        rows[0].append(int(to[a]))
+        own = (ids[used], nulls[used], keys[used], local.astype(np.int32), start[a:b].astype(np.int32), count[a:b].astype(np.int32), flags[a:b], words[0, a:b], words[1, a:b], words[2, a:b], windows[seen[a] : seen[b]])
+        rows[0].append(int(to[a]) // subs)
+        rows[1].append(int(to[a]) % subs)
         for k, x in enumerate(own):
-            rows[k + 1].append(x.tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], [x.split()[0] for x in _PACKED.split(", ")])
+            rows[k + 2].append(x.tobytes())
+    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in rows[:2]), *(pa.array(x, pa.binary()) for x in rows[2:])], [x.split()[0] for x in _PACKED.split(", ")])
 
 
-def _emit(splits, rules: Rules):
+def _emit(splits, subs: int, rules: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -223,39 +248,42 @@ def _emit(splits, rules: Rules):
                 held.append((ids[own], nulls[own], keys[own], suffixes(piece, rules)))
                 size += len(piece.data)
                 if size >= rules.flush:
-                    yield from _pack(held, splits.value)
+                    yield from _pack(held, splits.value, subs)
                     held, size = [], 0
         if held:
-            yield from _pack(held, splits.value)
+            yield from _pack(held, splits.value, subs)
 
     return run
 
 
-def _sample(rules: Rules):
+def _sample(rules: Rules, share: float):
+    most = np.uint64(min(int(share * 2.0**64), (1 << 64) - 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for piece in tx.slices(batch.column(2)):
                 found = suffixes(piece, rules)
                 tie = _tie(keys[piece.first + found.doc], found.start)
-                some = tie % np.uint64(16) == 0
+                some = tie <= most
                 yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)) for x in (*found.words, tie)], ["w0", "w1", "w2", "tie"])
 
     return run
 
 
-def splitters(keyed: DataFrame, buckets: int, rules: Rules) -> np.ndarray:
-    """Keys that cut the suffixes into ``buckets`` about even ranges, from a sample whose size follows the buckets. They
-    decide where suffixes are compared, never what is found."""
-    n = keyed.count() if buckets > 1 else 0
-    if n == 0:
+def splitters(keyed: DataFrame, ranges: int, size: int, rules: Rules) -> np.ndarray:
+    """Keys that cut the suffixes of a table of ``size`` bytes into ``ranges`` about even ranges, from a sample of about
+    ``rules.sample`` suffixes for each. They decide where suffixes are compared, never what is found."""
+    if ranges <= 1:
         return np.zeros((4, 0), np.uint64)
-    rows = keyed.sample(min(1.0, rules.sample * buckets / n), seed=5).mapInArrow(_sample(rules), _SPLIT).toPandas()
+    share = min(1.0, rules.sample * ranges / max(1.0, 2 * size / (72 if rules.reach > 1 else 6)))  # a word is about six bytes, files are packed to half
+    some = min(1.0, 16 * share)  # of the documents, of whose suffixes the rest
+    rows = keyed.sample(some, seed=5).mapInArrow(_sample(rules, share / some), _SPLIT).toPandas()
     found = np.stack([rows[k].to_numpy(np.int64).view(np.uint64) for k in ("w0", "w1", "w2", "tie")]) if len(rows) else np.zeros((4, 0), np.uint64)
     found = found[:, np.lexsort(found[::-1])]
-    if found.shape[1] < buckets:
+    if found.shape[1] < ranges:
         return found[:, :0]
-    return found[:, (np.arange(1, buckets) * found.shape[1]) // buckets]
+    return found[:, (np.arange(1, ranges) * found.shape[1]) // ranges]
 
 
 def _islands(rank: np.ndarray, start: np.ndarray, original: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
@@ -270,19 +298,26 @@ def _islands(rank: np.ndarray, start: np.ndarray, original: np.ndarray, size: in
 
 
 def _compare(rules: Rules):
+    kinds = (np.int64, np.uint8, np.int64, np.int32, np.int32, np.int32, np.uint8, np.uint64, np.uint64, np.uint64, np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[] for _ in range(10)]
-        kinds = (np.int64, np.uint8, np.int64, np.int32, np.int32, np.uint8, np.uint64, np.uint64, np.uint64, np.uint64)
-        base = 0
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = [np.frombuffer(batch.column(k + 1)[r].as_buffer(), kind) for k, kind in enumerate(kinds)]
+        cols: list[list] = [[] for _ in kinds]
+        base, last = 0, None
+        for batch in batches:  # one range, sorted by part
+            for r, sub in enumerate(batch.column(1).to_pylist()):
+                if base and sub != last:
+                    yield from compared(cols)
+                    cols, base = [[] for _ in kinds], 0
+                last = sub
+                row = [np.frombuffer(batch.column(k + 2)[r].as_buffer(), kind) for k, kind in enumerate(kinds)]
                 for k, x in enumerate(row):
                     cols[k].append(x + np.int32(base) if k == 3 else x.copy())
                 base += len(row[0])
-        if not base:
-            return
-        ids, nulls, keys, doc, start, flags, w0, w1, w2, windows = (np.concatenate(x) for x in cols)
+        if base:
+            yield from compared(cols)
+
+    def compared(cols: list[list]) -> Iterator[pa.RecordBatch]:
+        ids, nulls, keys, doc, start, count, flags, w0, w1, w2, windows = (np.concatenate(x) for x in cols)
         cols.clear()
         words = np.stack([w0, w1, w2])
         del w0, w1, w2
@@ -292,11 +327,11 @@ def _compare(rules: Rules):
         shared = np.zeros(len(order), bool)
         shared[1:] |= same
         shared[:-1] |= same
-        hot = (flags[order] & _HOT) > 0
+        hot = flags[order] > 0
         take = order[shared | hot]
         hot = hot[shared | hot]
         del words, same, shared
-        count = (flags & ~_HOT).astype(np.int64)
+        count = count.astype(np.int64)
         first = np.cumsum(count) - count
         size = count[take]
         window = windows[tx.ragged(first[take], size)]
@@ -349,9 +384,11 @@ def _repeats(docs: DataFrame, rules: Rules) -> DataFrame:
     spark = docs.sparkSession
     texts = keyed(docs)
     buckets = width(docs, rules.bucket_mb)
-    splits = spark.sparkContext.broadcast(splitters(texts, buckets, rules))
-    packed = texts.mapInArrow(_emit(splits, rules), _PACKED)
-    found = kept(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_compare(rules), _FOUND))
+    ranges = min(buckets, rules.ranges)
+    subs = -(-buckets // ranges)
+    splits = spark.sparkContext.broadcast(splitters(texts, ranges, size(docs), rules))
+    packed = texts.mapInArrow(_emit(splits, subs, rules), _PACKED).repartitionById(ranges, F.col("bucket"))
+    found = kept((packed.sortWithinPartitions("sub") if subs > 1 else packed).mapInArrow(_compare(rules), _FOUND))
     first = Window.partitionBy("window").orderBy(F.col("doc_id").asc_nulls_last(), "key", "begin")
     crossing = (
         found.where("window is not null")

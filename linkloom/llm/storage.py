@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a folder is made and set."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset, a folder of this machine is made in
+    local mode; on a cluster, whose machines don't share one, that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
     if not named:
-        at = context._jsc.sc().getCheckpointDir()
-        named = at.get() if at.isDefined() else tempfile.mkdtemp(prefix="linkloom-")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not found.isDefined() and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="linkloom-")
+    if found.isEmpty():
         context.setCheckpointDir(named)
     return named
 
@@ -33,13 +35,17 @@ def place(spark: SparkSession) -> str:
     return f"{shared(spark).rstrip('/')}/linkloom-{uuid.uuid4().hex}"
 
 
+def size(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` reads; above 2^60 if that isn't known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+
+
 def width(df: DataFrame, per_mb: float) -> int:
     """A number of partitions for ``df``: the session's, or more where the tables it reads, if their size is known, ask
     for more than ``per_mb`` MB each."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
     few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return few if size > 1 << 60 else max(few, -(-size // int(per_mb * 1e6)))
+    return few if size(df) > 1 << 60 else max(few, -(-size(df) // int(per_mb * 1e6)))
 
 
 def row_key(docs: DataFrame) -> Column:

@@ -121,3 +121,26 @@ def test_repeats_against_sql(spark):
     db.register("documents", table)
     rules = op.Rules(min_words=20)
     assert sorted(tuple(r) for r in op.repeats(docs, rules).collect()) == sorted(db.execute(op.sql(rules)).fetchall())
+
+
+@pytest.mark.parametrize("rules", [op.Rules(min_words=2), op.Rules(min_words=3), op.Rules(min_words=7), op.Rules(min_words=255), op.Rules(min_words=256), op.Rules(min_words=300), op.Rules(min_words=20, every=True)], ids=str)
+def test_lengths_of_passages_against_brute_force(spark, rules):
+    long = prose("long", 900)
+    docs = [(0, long), (1, long), (2, "x " + long[:3000]), (3, prose("other", 400)), (4, "a a a a b"), (5, "a b"), (6, "same " * 700)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found(df, rules) == brute(docs, rules.min_words) and found(df, rules)
+
+
+def test_ranges_are_bounded_and_cut_evenly(spark, tmp_path):
+    docs = corpus(20)
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(path)
+    df = spark.read.parquet(path)
+    for ranges in (1, 3):
+        rules = op.Rules(min_words=20, bucket_mb=0.0005, flush=1 << 12, ranges=ranges, sample=8)
+        assert op.width(df, rules.bucket_mb) > 8 * ranges and found(df, rules) == brute(docs, 20)
+
+
+def test_passages_have_words():
+    with pytest.raises(ValueError):
+        op.Rules(min_words=1)
