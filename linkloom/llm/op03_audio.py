@@ -4,12 +4,13 @@ A media value is binary: a RIFF/WAVE file of PCM (8, 16, 24 or 32 bits) or float
 plain or extensible, mono or more channels, which are averaged, or, without that header, raw
 unsigned 8-bit mono samples at ``rate``. It is resampled to ``target`` by a polyphase filter (one windowed-sinc filter per
 phase, so only wanted samples are computed), cut into overlapping frames, and each frame gives the logs of its mel
-filterbank energies. Frames are stored in tensors of a fixed shape (``frames`` x ``mels``, the last one padded by zeros)
+filterbank energies. Frames are stored in tensors of a fixed shape (``frames`` x ``mels``, the last one padded by silence)
 with the time span of their samples. Segments of sound are found by hysteresis: one begins where a frame's energy rises above
 the upper threshold and ends where it falls below the lower one; the thresholds lie relative to the loudest frame.
 
 Defined results: a null or empty value, one of a WAVE header without samples, and one that is no readable PCM (a broken
-header) have one row without tensor, with zero frames, samples and seconds. A value shorter than a frame is padded to one.
+header, another coding) have one row without tensor, with zero frames, samples and seconds, and ``error`` says which: null,
+empty, no samples, unreadable. A value shorter than a frame is padded to one.
 Repeated rows are computed each. Null ids stay null. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ROWS = "{id} long, part int, begin_s double, end_s double, frames int, tensor array<float>, segments array<struct<begin_s:double,end_s:double>>"
+_ROWS = "{id} long, part int, begin_s double, end_s double, frames int, tensor array<float>, segments array<struct<begin_s:double,end_s:double>>, error string"
 
 #: By format and bits, numpy's type; and how the GUID of an extensible header's format goes on after the format's number.
 _READ = {(1, 8): "u1", (1, 16): "<i2", (1, 24): "", (1, 32): "<i4", (3, 32): "<f4", (3, 64): "<f8"}
@@ -129,6 +130,19 @@ def filterbank(rate: int, size: int, mels: int) -> np.ndarray:
     return np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
 
 
+def fault(raw: bytes | None, n: int) -> str | None:
+    """Why a value of n samples has none."""
+    if n or raw is None:
+        return None
+    if not raw:
+        return "empty"
+    found = raw[:4] == b"RIFF" and raw[8:12] == b"WAVE" and b"data" in raw
+    return "no samples" if found and raw.endswith(b"data\x00\x00\x00\x00") else "unreadable"
+
+
+_SILENCE = np.log(np.float32(1e-6))
+
+
 def spectrum(x: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel energies (frames x mels) and the energy of each frame in dB."""
     if len(x) == 0:
@@ -143,7 +157,7 @@ def spectrum(x: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
     for a in range(0, n, 2048):
         part = view[a : a + 2048]
         power = np.abs(np.fft.rfft(part * shape, size)) ** 2
-        out[a : a + 2048] = np.log(power.astype(np.float32) @ bank + np.float32(1e-6))
+        out[a : a + 2048] = np.log(power.astype(np.float32) @ bank + np.float32(1e-6))  # never below _SILENCE
         energy[a : a + 2048] = 10 * np.log10((part**2).mean(axis=1) + 1e-10)
     return out, energy
 
@@ -176,8 +190,9 @@ def audio(media: DataFrame, column: str, rules: Rules = Rules(), id_column: str
             ids, held, size = batch.column(0), [], 0
             for k, value in enumerate(batch.column(1)):
                 raw = value.as_buffer()
-                mel, spans, n = features(raw.to_pybytes() if raw is not None else None, rules)
-                held.append((k, mel, spans, n))
+                own = raw.to_pybytes() if raw is not None else (b"" if value.is_valid else None)
+                mel, spans, n = features(own, rules)
+                held.append((k, mel, spans, n, fault(own, n)))
                 size += mel.size
                 if size > 1 << 22:
                     yield _tensors(ids, held, rules, id_column)
@@ -190,15 +205,16 @@ def audio(media: DataFrame, column: str, rules: Rules = Rules(), id_column: str
 
 def _tensors(ids: pa.Array, held: list, rules: Rules, id_column: str) -> pa.RecordBatch:
     step, rate = rules.frames, rules.target
-    owner, part, begin, end, frames, blocks, spans = [], [], [], [], [], [], []
-    for k, mel, found, n in held:
+    owner, part, begin, end, frames, blocks, spans, faults = [], [], [], [], [], [], [], []
+    for k, mel, found, n, error in held:
         parts = max(1, -(-len(mel) // step))
-        padded = np.zeros((parts * step if len(mel) else 0, rules.mels), np.float32)
+        padded = np.full((parts * step if len(mel) else 0, rules.mels), _SILENCE, np.float32)
         padded[: len(mel)] = mel
         blocks.append(padded.ravel())
         for j in range(parts):
             own = min(step, len(mel) - j * step)
             owner.append(k)
+            faults.append(error)
             part.append(j)
             begin.append(j * step * rules.hop / rate)
             end.append(min(n, (j * step + max(0, own - 1)) * rules.hop + rules.window) / rate if own else 0.0)
@@ -208,8 +224,8 @@ def _tensors(ids: pa.Array, held: list, rules: Rules, id_column: str) -> pa.Reco
     offsets = np.append(0, np.cumsum(full * (step * rules.mels)))
     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(~full, False)), pa.array(np.concatenate(blocks)))
     span = pa.list_(pa.struct([("begin_s", pa.float64()), ("end_s", pa.float64())]))
-    columns = [ids.take(pa.array(owner)), pa.array(part, pa.int32()), pa.array(begin), pa.array(end), pa.array(frames, pa.int32()), lists, pa.array(spans, span)]
-    return pa.RecordBatch.from_arrays(columns, [id_column, "part", "begin_s", "end_s", "frames", "tensor", "segments"])
+    columns = [ids.take(pa.array(owner)), pa.array(part, pa.int32()), pa.array(begin), pa.array(end), pa.array(frames, pa.int32()), lists, pa.array(spans, span), pa.array(faults, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, [id_column, "part", "begin_s", "end_s", "frames", "tensor", "segments", "error"])
 
 
 def fixed_shape(table: pa.Table, rules: Rules = Rules()) -> pa.Table:

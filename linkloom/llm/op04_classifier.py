@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,9 @@ _CLASS[128:] = 6
 _NOT_LINE = tx.table(b"\n", other=True)
 
 
+_GROUPS, _WIDE = 8, 4096  # of sums; most partitions that make one, half a megabyte each
+
+
 @dataclass(frozen=True)
 class Rules:
     """features: cosines. width: of the Gaussian kernel, in standard deviations. ridge: per labelled document. held: percent
@@ -190,10 +194,20 @@ def fit(stats: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model |
             z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
             gram[:, :-1] += z.T @ z
             gram[:, -1] += z.T @ batch.column(1).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(gram.size), pa.int32()), pa.array(gram.ravel())], ["at", "total"])
+        group = TaskContext.get().partitionId() % _GROUPS
+        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([gram.tobytes()], pa.binary())], ["group", "gram"])
 
-    few = free.coalesce(16)  # rows of sixteen numbers: what is summed stays small beside them however many partitions there were
-    gram = _sums(few.mapInArrow(equations, "at int, total double")).reshape(side, side + 1)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = np.zeros(side * (side + 1))
+        for batch in batches:
+            for x in batch.column(1):
+                gram += np.frombuffer(x.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([gram.tobytes()], pa.binary())], ["group", "gram"])
+
+    # A sum of each partition, then of each of a few groups of partitions: what reaches the driver doesn't grow.
+    few = free.mapInArrow(equations, "group int, gram binary") if free.rdd.getNumPartitions() <= _WIDE else free.coalesce(_WIDE).mapInArrow(equations, "group int, gram binary")
+    grams = few.repartition(_GROUPS, "group").mapInArrow(added, "group int, gram binary").collect()
+    gram = sum(np.frombuffer(r["gram"]) for r in grams).reshape(side, side + 1)
     penalty = np.eye(side) * rules.ridge * n
     penalty[-1, -1] = 0
     fitted = Model(empty.mean, empty.scale, empty.projection, empty.shift, np.linalg.solve(gram[:, :-1] + penalty, gram[:, -1]), np.zeros(0), np.zeros(1))

@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import base64
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import ahocorasick
@@ -34,6 +35,9 @@ _ENCODED = "doc_id long, n_tokens int, tokens array<int>, round_trip boolean"
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _MOST_CACHED = 1 << 21
+_MOST_POOLED = 1 << 23  # tokens
+_MOST_PAIRS = 1 << 19
+_WINDOW = 1 << 16  # bytes whose candidates are found at a time
 
 
 def load(path: str = VOCABULARY) -> list[bytes]:
@@ -105,6 +109,8 @@ class Encoder:
         self.used = 0
         self.known = np.zeros(0, np.uint64)  # codes of pieces in order, and where their tokens are in the pool
         self.spans = np.zeros((0, 2), np.int32)
+        self.recent, self.fresh = self.known.copy(), self.spans.copy()  # as these, of the latest pieces
+        self.longest = max(self.sizes)
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.size_of = np.array(self.sizes, np.int64)
         self.begin_of = np.cumsum(self.size_of) - self.size_of
@@ -163,21 +169,30 @@ class Encoder:
                     return True
                 left = inner
 
-    def encode(self, raw: bytes) -> list[int]:
+    def encode(self, raw: bytes) -> Sequence[int]:
         whole = self.rank.get(raw)
         if whole is not None and self._reachable(whole):
             return [whole]
         sizes, known = self.sizes, self.compatible
-        at: list[list[int]] = [[] for _ in raw]
-        for end, token in self.automaton.iter(raw.decode("latin-1")):
-            at[end - sizes[token] + 1].append(token)  # by rising end, so by rising length
         size = len(raw)
         dead = bytearray(size + 1)
-        out: list[int] = []
-        turns: list[int] = []  # which candidate each token of out was
-        pos, turn, last = 0, len(at[0]) - 1, -1
+        out, turns = array("i"), array("i")  # tokens, and which candidate each was
+        pos, turn, last = 0, -2, -1  # -2: the longest
+        held: dict[int, list[list[int]]] = {}
+        at: list[list[int]] = []
+        base = top = 0
         while pos < size:
-            own = at[pos]
+            if not base <= pos < top:  # candidates lie by blocks, of which the last two are kept
+                base = pos // _WINDOW * _WINDOW
+                top = min(size, base + _WINDOW)
+                if base not in held:
+                    if len(held) > 1:
+                        del held[next(iter(held))]
+                    held[base] = self._candidates(raw, base, top)
+                at = held[base]
+            own = at[pos - base]
+            if turn == -2:
+                turn = len(own) - 1
             while turn >= 0:
                 token = own[turn]
                 if not dead[pos + sizes[token]]:
@@ -192,14 +207,23 @@ class Encoder:
                 turns.append(turn)
                 pos += sizes[token]
                 last = token
-                if pos < size:
-                    turn = len(at[pos]) - 1
+                turn = -2
             else:
                 dead[pos] = 1
                 pos -= sizes[out.pop()]
                 turn = turns.pop() - 1
                 last = out[-1] if out else -1
-        return out
+        return out.tolist() if size <= _WINDOW else out
+
+    def _candidates(self, raw: bytes, base: int, top: int) -> list[list[int]]:
+        """Of each place from base to top, the tokens that begin there, shorter ones first."""
+        at: list[list[int]] = [[] for _ in range(top - base)]
+        sizes, n = self.sizes, top - base
+        for end, token in self.automaton.iter(raw[base : top + self.longest - 1].decode("latin-1")):
+            begin = end - sizes[token] + 1
+            if begin < n:
+                at[begin].append(token)  # by rising end, so by rising length
+        return at
 
     def _reachable(self, token: int) -> bool:
         left, right = self.split(token)
@@ -208,24 +232,47 @@ class Encoder:
     def ids(self, codes: np.ndarray, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size in the pool of the tokens of each piece; equal pieces have equal codes."""
         names, first, back = np.unique(codes, return_index=True, return_inverse=True)
-        if len(self.known) > _MOST_CACHED:
-            self.known, self.spans, self.used = self.known[:0], self.spans[:0], 0
-        at = np.searchsorted(self.known, names)
-        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != names) if len(self.known) else np.arange(len(names))
+        if len(self.known) + len(self.recent) > _MOST_CACHED or self.used > _MOST_POOLED:
+            self.known, self.spans, self.recent, self.fresh, self.used = self.known[:0], self.spans[:0], self.recent[:0], self.fresh[:0], 0
+            self.pool = self.pool[: 1 << 16].copy()
+        if len(self.compatible) > _MOST_PAIRS:
+            self.compatible.clear()
+        spans = np.zeros((len(names), 2), np.int32)
+        left = self._lookup(self.known, self.spans, names, spans, np.arange(len(names)))
+        new = self._lookup(self.recent, self.fresh, names, spans, left)
         if len(new):
-            whole = data.tobytes()
-            found = [self.encode(whole[a:b]) for a, b in zip(begins[first[new]].tolist(), ends[first[new]].tolist())]
+            whole = memoryview(data)
+            found = [self.encode(bytes(whole[a:b])) for a, b in zip(begins[first[new]].tolist(), ends[first[new]].tolist())]
             sizes = np.array([len(x) for x in found], np.int64)
-            fresh = np.array([t for x in found for t in x], np.int32)
+            fresh = np.concatenate([np.asarray(x, np.int32) for x in found])
             if self.used + len(fresh) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(fresh)), np.int32)])
             self.pool[self.used : self.used + len(fresh)] = fresh
-            self.known = np.insert(self.known, at[new], names[new])
-            self.spans = np.insert(self.spans, at[new], np.stack([self.used + np.cumsum(sizes) - sizes, sizes], axis=1), axis=0)
+            spans[new] = np.stack([self.used + np.cumsum(sizes) - sizes, sizes], axis=1)
             self.used += len(fresh)
-            at = np.searchsorted(self.known, names)
-        spans = self.spans[at[back]].astype(np.int64)
-        return spans[:, 0], spans[:, 1]
+            # New pieces gather in a small table, which is merged into the large one when it has a quarter of its size.
+            self.recent, self.fresh = self._merged(self.recent, self.fresh, names[new], spans[new])
+            if len(self.recent) > max(4096, len(self.known) // 4):
+                self.known, self.spans = self._merged(self.known, self.spans, self.recent, self.fresh)
+                self.recent, self.fresh = self.recent[:0], self.fresh[:0]
+        own = spans[back].astype(np.int64)
+        return own[:, 0], own[:, 1]
+
+    @staticmethod
+    def _lookup(known: np.ndarray, spans: np.ndarray, names: np.ndarray, out: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Fill the rows of ``out`` whose name is known; the other rows."""
+        if len(known) == 0 or len(rows) == 0:
+            return rows
+        at = np.minimum(np.searchsorted(known, names[rows]), len(known) - 1)
+        hit = known[at] == names[rows]
+        out[rows[hit]] = spans[at[hit]]
+        return rows[~hit]
+
+    @staticmethod
+    def _merged(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        names = np.concatenate([a, b])
+        order = np.argsort(names, kind="stable")
+        return names[order], np.concatenate([x, y])[order]
 
     def encode_slice(self, piece: tx.Slice) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of all texts of a slice, and how many lie before each text (one more than texts)."""

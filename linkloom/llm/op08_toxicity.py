@@ -1,24 +1,32 @@
 """Toxic spans by a linear-chain conditional random field, and documents scored by what it tags.
 
-Words (runs of letters and digits, case folded) are observed by evidence: the log-ratio of how often toxic and other
-labelled documents have the word, or one of its beginnings of a few bytes, where that differs significantly. Labelled tokens
-are the words with evidence in documents labelled toxic (toxic) and all other words of labelled documents (not). A chain of
-two states is trained on them, with weights for the evidence of a word and of its neighbours and for transitions.
+Words (runs of letters and digits, case folded) are observed by features: the word itself, its beginnings and endings of a few
+bytes, its shape (length, digits, capital, letters beyond ASCII), and the words before and after it; features of too few
+labelled documents are left out. Labels are given to documents, so labelled tokens are made from them: in a document labelled
+toxic, the words that are, or begin as, what is significantly more frequent among toxic documents are toxic; all other words of
+labelled documents aren't. The same word is thus labelled either way, and what surrounds it counts.
+
+The chain of two states is trained by maximum likelihood with a ridge: the labelled sample lies as arrays of word types in
+partitions, each round sums the partitions' gradients under the weights sent to them, and the driver takes a step of a limited-
+memory quasi-Newton method over these sums alone.
 
 The forward-backward marginals of a document's words are summed: toxic documents have them at a higher rate per word than
 others. Two Poisson rates, over the labelled documents, and the labels' proportion turn sum and length into the document's
-score, the probability of being toxic. Offending spans are maximal runs of words whose marginal is above a half.
+score, the probability of being toxic. A long document's score is at least that of its most toxic stretch of ``stretch`` words,
+discounted by how many stretches it has. Offending spans are maximal runs of words whose marginal is above a half.
 
 The model is fitted on at most ``sample`` labelled documents, by a hash of doc_id; everything else is over all documents
 and whole texts. A null or empty text has score of no words and no spans. Labels of null doc_id or null toxic count for
-nothing; contradicting labels count each. Without labels of both kinds every score is null and no document is toxic. Repeated
-rows are scored each. An empty table gives no rows. Extra columns are ignored, whatever their names.
+nothing; contradicting labels count each; repeated rows of a labelled document count once. Without labels of both kinds every
+score is null and no document is toxic. Repeated rows are scored each. An empty table gives no rows. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,118 +34,120 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm import text as tx
+from linkloom.llm.storage import kept
 
 _SCORED = "doc_id long, score double, toxic boolean, toxic_words double, words int, spans array<struct<begin:int,end:int>>"
 _BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
-_BINS = np.array([1e-9, 1, 2, 3, 4, 5, 6])  # of evidence: none, then by log-ratio
+_ENDINGS = (3, 4)
+_EVIDENCE = 1 + len(_BEGINNINGS)  # the kinds of features, of the word itself, that labels are made from
+_BEFORE, _AFTER = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 _BLOCK = 64
 
 
 @dataclass(frozen=True)
 class Rules:
     """sample: most labelled documents that the model is fitted on (a third at most are toxic ones). significance: least G² of
-    evidence. documents: least toxic documents that have it. rounds: of gradient ascent. floor: score of toxic documents."""
+    evidence. documents: least documents that have a feature, or toxic ones that have evidence. rounds: of training. ridge: weight
+    of the squared weights. floor: score of toxic documents. stretch: words of a stretch."""
 
     sample: int = 3000
     significance: float = 20.0
     documents: int = 4
-    rounds: int = 40
+    rounds: int = 18
+    ridge: float = 1.0
     floor: float = 0.7
+    stretch: int = 512
 
 
 @dataclass(frozen=True)
 class Model:
-    """codes, ratios: the evidence, in order of code. own, before, after: weights of the evidence of a word and of its
-    neighbours (by bin). moves: log transitions from state to state. first: log weight of a toxic first word. rates: toxic
-    words per word in toxic and in other documents. prior: log-odds of the labels."""
+    """codes, weights: of the features, in order of code. rest: bias, log transitions from state to state, log weight of a toxic
+    first word. rates: toxic words per word in toxic and in other documents. prior: log-odds of the labels."""
 
     codes: np.ndarray
-    ratios: np.ndarray
-    own: np.ndarray
-    before: np.ndarray
-    after: np.ndarray
-    moves: np.ndarray
-    first: float
+    weights: np.ndarray
+    rest: np.ndarray
     rates: tuple[float, float]
     prior: float
 
 
-def _words(piece: tx.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
-    """Begins and ends of the words of a slice, how many lie before each text, and by kind of evidence (which words, codes)."""
+class Words(NamedTuple):
+    """The words of a slice: begins, ends, how many lie before each text, which are first of a text, the type of each; and the
+    codes of the features of each type (kinds x types, 0 where it has none), the last two as a neighbour before and after."""
+
+    begins: np.ndarray
+    ends: np.ndarray
+    where: np.ndarray
+    first: np.ndarray
+    type: np.ndarray
+    codes: np.ndarray
+
+
+def words(piece: tx.Slice) -> Words:
     data = tx.fold(piece.data)
     begins, ends, where = tx.tokens(data, piece.offsets, tx.WORD)
+    first = np.zeros(len(begins), bool)
+    first[where[:-1][where[:-1] < where[1:]]] = True
     sums = tx.sums(data)
+    hashed = tx.spans(sums, begins, ends)
+    changed = data != piece.data
+    capital = changed[begins] | (np.append(changed, False)[begins + 1] & (piece.data[begins] == 0xC3)) if len(begins) else np.zeros(0, bool)
+    _, at, kind = np.unique(hashed ^ capital.astype(np.uint64), return_index=True, return_inverse=True)
+    a, b, capital = begins[at], ends[at], capital[at]
+    own = [hashed[at]]
+    for size in (*_BEGINNINGS, *(-x for x in _ENDINGS)):
+        long = np.flatnonzero(b - a > abs(size))
+        code = np.zeros(len(a), np.uint64)
+        code[long] = (tx.spans(sums, a[long], a[long] + size) if size > 0 else tx.spans(sums, b[long] + size, b[long])) ^ np.uint64(size if size > 0 else 16 - size)
+        own.append(code)
+    marks = np.append(0, np.cumsum((data >= 48) & (data < 58)))
+    wide = np.append(0, np.cumsum(data >= 128))
+    own.append(tx.mix(np.minimum(b - a, 12).astype(np.uint64) * np.uint64(8) + (marks[b] > marks[a]) * np.uint64(4) + (wide[b] > wide[a]) * np.uint64(2) + capital.astype(np.uint64) + np.uint64(1)))
+    return Words(begins, ends, where, first, kind.astype(np.int32), np.stack([*own, tx.mix(own[0] ^ _BEFORE), tx.mix(own[0] ^ _AFTER)]))
+
+
+def places(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each code lies in ``known`` (in order); len(known) if it doesn't."""
+    if len(known) == 0:
+        return np.zeros(codes.shape, np.int64)
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return np.where(known[at] == codes, at, len(known))
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By code: whether it may be evidence, how many toxic and other documents have it."""
+    for batch in batches:
+        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for piece in tx.slices(batch.column(0)):
+            own = words(piece)
+            doc = np.repeat(np.arange(piece.count), np.diff(own.where))
+            pair = np.unique(doc * len(own.codes[0]) + own.type) if len(doc) else doc
+            for k, codes in enumerate(own.codes[:-2]):
+                doc, code = pair // max(len(codes), 1), codes[pair % max(len(codes), 1)]
+                doc, code = doc[code != 0], code[code != 0]
+                order = np.lexsort((doc, code))
+                doc, code = doc[order], code[order]
+                fresh = np.ones(len(code), bool)
+                fresh[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+                bad, code = toxic[piece.first + doc[fresh]], code[fresh]
+                at = tx.runs(code)
+                t = np.add.reduceat(bad, at, dtype=np.int64) if len(at) else at
+                n = np.diff(np.append(at, len(code)))
+                yield pa.RecordBatch.from_arrays([pa.array(code[at].view(np.int64)), pa.array(np.full(len(at), k == 0)), pa.array(np.full(len(at), k < _EVIDENCE)), pa.array(t), pa.array(n - t)], ["code", "word", "evidence", "t", "c"])
+
+
+def _significant(t, c, n1: int, n0: int, rules: Rules):
+    """Whether a code of t toxic and c other documents is evidence (columns)."""
+    share = n1 / (n1 + n0)
+    g = 2 * (F.when(t > 0, t * F.log(t / ((t + c) * share))).otherwise(0.0) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0))
+    more = (t + 0.5) / (n1 + 1) > (c + 0.5) / (n0 + 1)
+    return F.coalesce((g >= rules.significance) & (t >= rules.documents) & more, F.lit(False))
 
-    def codes() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        every = np.arange(len(begins))
-        yield every, tx.spans(sums, begins, ends)
-        for size in _BEGINNINGS:
-            own = np.flatnonzero(ends - begins > size)
-            yield own, tx.spans(sums, begins[own], begins[own] + size) ^ np.uint64(size)
-
-    return begins, ends, where, codes()
 
-
-def lexicon(texts: list[str], toxic: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
-    """Codes that are significantly more frequent among toxic documents, in order, and their log-ratios."""
-    n1, n0 = toxic.sum(), (~toxic).sum()
-    share = n1 / (n1 + n0)
-    by_kind: list[list[tuple]] = [[] for _ in range(1 + len(_BEGINNINGS))]
-    for piece in tx.slices(pa.array(texts, pa.string())):
-        _, _, where, codes_of = _words(piece)
-        for k, (own, code) in enumerate(codes_of):
-            doc = np.searchsorted(where, own, "right") - 1
-            order = np.lexsort((doc, code))
-            doc, code = doc[order], code[order]
-            fresh = np.ones(len(code), bool)
-            fresh[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
-            bad = toxic[piece.first + doc[fresh]]
-            code = code[fresh]
-            at = tx.runs(code)  # documents of each kind by code
-            by_kind[k].append((code[at], np.add.reduceat(bad, at, dtype=np.int64) if len(at) else at, np.diff(np.append(at, len(code)))))
-    codes, ratios = [], []
-    for found in by_kind:
-        names, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
-        t = np.bincount(at, np.concatenate([x[1] for x in found]), len(names))
-        c = np.bincount(at, np.concatenate([x[2] for x in found]), len(names)) - t
-        found.clear()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            g = 2 * (np.where(t > 0, t * np.log(t / ((t + c) * share)), 0) + np.where(c > 0, c * np.log(c / ((t + c) * (1 - share))), 0))
-        ratio = np.log((t + 0.5) / (n1 + 1)) - np.log((c + 0.5) / (n0 + 1))
-        good = (g >= rules.significance) & (t >= rules.documents) & (ratio > 0)
-        codes.append(names[good])
-        ratios.append(ratio[good])
-    codes, ratios = np.concatenate(codes), np.concatenate(ratios)
-    order = np.argsort(codes)
-    return codes[order], ratios[order]
-
-
-def evidence(codes: Iterator[tuple[np.ndarray, np.ndarray]], n: int, known: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    """The bin of the strongest evidence of each of n words."""
-    most = np.zeros(n)
-    for own, code in codes:
-        if len(known) and len(own):
-            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-            hit = np.flatnonzero(known[at] == code)
-            most[own[hit]] = np.maximum(most[own[hit]], ratios[at[hit]])
-    return np.searchsorted(_BINS, most, "right")
-
-
-def neighbours(bins: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins of the word before and after (0 beyond a document), and whether a word is its document's first."""
-    first = np.zeros(len(bins), bool)
-    heads = where[:-1][where[:-1] < where[1:]]
-    first[heads] = True
-    before, after = np.zeros_like(bins), np.zeros_like(bins)
-    before[1:] = bins[:-1]
-    before[first] = 0
-    after[:-1] = np.where(first[1:], 0, bins[1:])
-    return before, after, first
-
-
-def chain(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward messages (words x 2 states, each normalised) of all documents of a slice. ``scores``: log weight
-    of the toxic state of each word. A document's first word forgets what was before: its step has two equal rows.
+def chain(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forward and backward messages (words x 2 states, each normalised) of all documents of a slice, and the log of the sum
+    over all taggings. ``scores``: log weight of the toxic state of each word. A document's first word forgets what was before:
+    its step has two equal rows.
 
     Words are cut in blocks; the steps of all blocks are multiplied side by side, the products are chained, and then the
     messages within all blocks are found side by side."""
@@ -168,11 +178,12 @@ def chain(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, start: float
         tails[k] = a, b
         a, b = p[0][0][k] * a + p[0][1][k] * b, p[1][0][k] * a + p[1][1][k] * b
         a, b = a / (a + b), b / (a + b)
-    ahead, back = np.empty((blocks, _BLOCK, 2)), np.empty((blocks, _BLOCK, 2))
+    ahead, back, scale = np.empty((blocks, _BLOCK, 2)), np.empty((blocks, _BLOCK, 2)), size
     a, b = heads[:, 0], heads[:, 1]
     for k in range(_BLOCK):
         a, b = a * steps[0][0][:, k] + b * steps[1][0][:, k], a * steps[0][1][:, k] + b * steps[1][1][:, k]
         total = a + b
+        scale[:, k] *= total
         a, b = a / total, b / total
         ahead[:, k, 0], ahead[:, k, 1] = a, b
     a, b = tails[:, 0], tails[:, 1]
@@ -181,100 +192,222 @@ def chain(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, start: float
         a, b = steps[0][0][:, k] * a + steps[0][1][:, k] * b, steps[1][0][:, k] * a + steps[1][1][:, k] * b
         total = a + b
         a, b = a / total, b / total
-    return ahead.reshape(-1, 2)[:n], back.reshape(-1, 2)[:n]
+    return ahead.reshape(-1, 2)[:n], back.reshape(-1, 2)[:n], float(np.log(scale.ravel()[:n]).sum())
 
 
 def marginals(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, start: float) -> np.ndarray:
     """The probability that each word is toxic."""
     if len(scores) == 0:
         return np.zeros(0)
-    ahead, back = chain(scores, first, moves, start)
+    ahead, back, _ = chain(scores, first, moves, start)
     both = ahead * back
     return both[:, 1] / both.sum(axis=1)
 
 
-def train(parts: list[tuple], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Weights that maximise the likelihood of the labels (with a small ridge), by gradients with adaptive steps. ``parts``:
-    of each slice the bins of words and their neighbours, which are first of a document, and the labels."""
-    size = len(_BINS) + 1
-    w = np.zeros(3 * size + 5)
-    w[:size] = np.arange(size) - 2.0
-    step, past = np.full(len(w), 0.5), np.zeros(len(w))
+class Part(NamedTuple):
+    """Words of a slice for training: which are first of a text, type, label, side (their document's label); and the features of
+    each type: which type, which kind (0 its own, 1 as the word before, 2 as the word after), which weight."""
+
+    first: np.ndarray
+    type: np.ndarray
+    label: np.ndarray
+    side: np.ndarray
+    owner: np.ndarray
+    kind: np.ndarray
+    weight: np.ndarray
 
-    def sums(bins, before, after, p: np.ndarray, pairs: np.ndarray, head: float) -> np.ndarray:
-        return np.concatenate([np.bincount(b, p, size) for b in (bins, before, after)] + [pairs.ravel(), [head]])
+    @property
+    def types(self) -> int:
+        return int(self.owner.max(initial=-1)) + 1
 
-    def within(first: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(~first)[np.flatnonzero(~first) > 0]
 
-    def seen(bins, before, after, first, y) -> np.ndarray:
-        at = within(first)
-        return sums(bins, before, after, y.astype(float), np.bincount(2 * y[at - 1] + y[at], minlength=4).reshape(2, 2), float(y[first].sum()))
+_PART = (np.bool_, np.int32, np.bool_, np.bool_, np.int32, np.int8, np.int32)
 
-    def expected(bins, before, after, first, _) -> np.ndarray:
-        scores = w[:size][bins] + w[size : 2 * size][before] + w[2 * size : 3 * size][after]
-        moves, start, at = w[3 * size : 3 * size + 4].reshape(2, 2), w[-1], within(first)
-        ahead, back = chain(scores, first, moves, start)
-        both = ahead * back
-        p = both[:, 1] / both.sum(axis=1)
-        flow = ahead[at - 1][:, :, None] * np.exp(moves)[None] * (back[at] * np.stack([np.ones(len(at)), np.exp(np.clip(scores[at], -50, 50))], axis=1))[:, None, :]
-        flow /= flow.sum(axis=(1, 2), keepdims=True)
-        return sums(bins, before, after, p, flow.sum(axis=0), float(p[first].sum()))
 
-    parts = [x for x in parts if len(x[0])]
-    target = sum((seen(*x) for x in parts), np.zeros(len(w)))
-    for _ in range(rounds):
-        gradient = target - sum((expected(*x) for x in parts), np.zeros(len(w))) - 1e-2 * w
-        turn = np.sign(gradient * past)
-        step = np.clip(np.where(turn > 0, step * 1.2, np.where(turn < 0, step * 0.5, step)), 1e-4, 1.0)
-        past = np.where(turn < 0, 0, gradient)
-        w = w + np.sign(past) * step
-    return w[:size], w[size : 2 * size], w[2 * size : 3 * size], w[3 * size : 3 * size + 4].reshape(2, 2), float(w[-1])
+def part(piece: tx.Slice, toxic: np.ndarray, known: np.ndarray, evidence: np.ndarray) -> Part:
+    own = words(piece)
+    side = np.repeat(toxic, np.diff(own.where))
+    bad = (places(own.codes[:_EVIDENCE], evidence) < len(evidence)).any(axis=0) if len(evidence) else np.zeros(own.codes.shape[1], bool)
+    at = places(own.codes, known)
+    kind, owner = np.nonzero(at < len(known))
+    last = len(own.codes) - 1
+    weight = at[kind, owner]
+    if own.codes.shape[1] == 0:
+        return Part(own.first, own.type, np.zeros(0, bool), side, *(np.zeros(0, x) for x in _PART[4:]))
+    # One more of no weight, for the last type to be there.
+    return Part(own.first, own.type, side & bad[own.type], side, np.append(owner, own.codes.shape[1] - 1).astype(np.int32), np.append(np.where(kind == last, 2, np.where(kind == last - 1, 1, 0)), 0).astype(np.int8), np.append(weight, len(known)).astype(np.int32))
 
 
-def _observed(piece: tx.Slice, codes: np.ndarray, ratios: np.ndarray) -> tuple:
-    begins, ends, where, found = _words(piece)
-    bins = evidence(found, len(begins), codes, ratios)
-    return begins, ends, where, bins, *neighbours(bins, where)
+def scores(own: Part, w: np.ndarray) -> np.ndarray:
+    """The log weight of each word's toxic state, without the bias."""
+    by_kind = [np.bincount(own.owner[own.kind == k], w[own.weight[own.kind == k]], own.types) for k in range(3)]
+    return _around(own.type, own.first, *by_kind)
 
 
-def _tagged(bins: np.ndarray, before: np.ndarray, after: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
-    return marginals(model.own[bins] + model.before[before] + model.after[after], first, model.moves, model.first)
+def _around(kind: np.ndarray, first: np.ndarray, own: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    out = own[kind].astype(float)
+    out[1:] += np.where(first[1:], 0.0, before[kind[:-1]])
+    out[:-1] += np.where(first[1:], 0.0, after[kind[1:]])
+    return out
+
+
+def likelihood(own: Part, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """The log-likelihood of the labels, and its gradient. w: the weights of the features (the last is of none, and 0), then
+    bias, transitions (row by row), first."""
+    n = len(own.first)
+    features, (bias, *moves, start) = w[:-6], w[-6:]
+    if n == 0:
+        return 0.0, np.zeros(len(w))
+    moves = np.array(moves).reshape(2, 2)
+    s = scores(own, features) + bias
+    ahead, back, total = chain(s, own.first, moves, start)
+    both = ahead * back
+    p = both[:, 1] / both.sum(axis=1)
+    y = own.label.astype(np.int64)
+    at = np.flatnonzero(~own.first)
+    at = at[at > 0]
+    flow = ahead[at - 1][:, :, None] * np.exp(moves)[None] * (back[at] * np.stack([np.ones(len(at)), np.exp(np.clip(s[at], -50, 50))], axis=1))[:, None, :]
+    flow /= flow.sum(axis=(1, 2), keepdims=True)
+    seen = np.bincount(2 * y[at - 1] + y[at], minlength=4)
+    value = float((s * y).sum() + (seen * moves.ravel()).sum() + start * y[own.first].sum()) - total
+    r = y - p
+    inner = ~own.first[1:]
+    sums = (np.bincount(own.type, r, own.types), np.bincount(own.type[:-1][inner], r[1:][inner], own.types), np.bincount(own.type[1:][inner], r[:-1][inner], own.types))
+    gradient = np.zeros(len(w))
+    gradient[:-6] = np.bincount(own.weight, np.choose(own.kind, [x[own.owner] for x in sums]), len(w) - 6)
+    gradient[len(w) - 7] = 0.0
+    gradient[-6:] = [r.sum(), *(seen - flow.sum(axis=0).ravel()), r[own.first].sum()]
+    return value, gradient
+
+
+def maximise(of: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, rounds: int, ridge: float, memory: int = 6) -> np.ndarray:
+    """The best weights that a limited-memory quasi-Newton ascent meets in so many calls of ``of`` (value and gradient)."""
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        value, gradient = of(w)
+        return value - ridge / 2 * float(w @ w), gradient - ridge * w
+
+    value, g = at(w)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    length = 1.0 / max(1.0, float(np.abs(g).max()))
+    for _ in range(rounds - 1):
+        d, left = g.copy(), []
+        for s, y in reversed(steps):
+            a = float(s @ d) / float(s @ y)
+            d -= a * y
+            left.append(a)
+        if steps:
+            s, y = steps[-1]
+            d *= float(s @ y) / float(y @ y)
+        for (s, y), a in zip(steps, reversed(left)):
+            d += (a - float(y @ d) / float(s @ y)) * s
+        fresh = w + (d if steps else g) * length
+        better, h = at(fresh)
+        if better <= value:
+            length *= 0.25
+            if length < 1e-8:
+                break
+            continue
+        s, y = fresh - w, g - h
+        if float(s @ y) > 1e-10:
+            steps = [*steps, (s, y)][-memory:]
+        w, value, g, length = fresh, better, h, 1.0
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model | None:
     """The model of a bounded sample of the labelled documents; None without labels of both kinds."""
+    context = docs.sparkSession.sparkContext
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).alias("y"))
     some = lambda toxic, n: known.where(F.col("y") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = some(True, rules.sample // 3).unionByName(some(False, rules.sample - rules.sample // 3))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text", "y").select("text", "y").toPandas()  # ``sample`` rows at most are broadcast
-    toxic = rows["y"].to_numpy(bool)
-    if not 0 < toxic.sum() < len(toxic):
+    found = texts.join(F.broadcast(chosen), "doc_id").distinct()  # ``sample`` rows at most are broadcast
+    # Hashed to as many partitions as there are cores, whatever these documents' sizes: a sum of doubles depends on the order.
+    sample = kept(found.select("text", "y").repartition(16, F.xxhash64("doc_id", "text", "y")))
+    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    if len(sizes) < 2:
         return None
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    codes, ratios = lexicon(rows["text"].tolist(), toxic, rules)
-    parts, sides = [], []
-    for piece in tx.slices(pa.array(rows["text"].tolist(), pa.string())):
-        _, _, where, bins, *rest = _observed(piece, codes, ratios)
-        side = np.repeat(toxic[piece.first : piece.first + piece.count], np.diff(where))
-        parts.append((bins.astype(np.int8), *(x.astype(np.int8) for x in rest[:2]), rest[2], (side & (bins > 0)).astype(np.int8)))
-        sides.append(side)
-    weights = train(parts, rules.rounds)
-    own = Model(codes, ratios, *weights, (1.0, 1.0), 0.0)
-    mass, words = np.zeros(2), np.zeros(2)
-    for (*observed, _), side in zip(parts, sides):
-        mass += np.bincount(side, _tagged(*observed, own), 2)
-        words += np.bincount(side, minlength=2)
-    rates = (float((mass[1] + 0.5) / (words[1] + 1)), float((mass[0] + 0.5) / (words[0] + 1)))
-    return Model(codes, ratios, *weights, rates, float(np.log(counts[True] / counts[False])))
-
-
-def document_score(toxic_words: np.ndarray, words: np.ndarray, model: Model) -> np.ndarray:
-    """The probability that a document of so many words, of which so many are expected to be toxic, is toxic."""
+    codes = sample.mapInArrow(_frequencies, "code long, word boolean, evidence boolean, t long, c long").groupBy("code", "word", "evidence").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    t, c = F.col("t"), F.col("c")
+    codes = codes.where(t + c >= rules.documents).withColumn("evidence", F.col("evidence") & _significant(t, c, sizes[True], sizes[False], rules))
+    rows = codes.select("code", "word", "evidence").toPandas()  # of a bounded sample, what several of its documents have
+    names = rows["code"].to_numpy(np.int64).view(np.uint64)
+    own = names[rows["word"].to_numpy(bool)]
+    vocabulary = np.unique(np.concatenate([names, tx.mix(own ^ _BEFORE), tx.mix(own ^ _AFTER)]))
+    evidence = np.unique(names[rows["evidence"].to_numpy(bool)])
+    shared = context.broadcast((vocabulary, evidence))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for piece in tx.slices(batch.column(0)):
+                own = part(piece, toxic[piece.first : piece.first + piece.count], *shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in own], list(Part._fields))
+
+    parts = kept(sample.mapInArrow(cut, ", ".join(f"{x} binary" for x in Part._fields)))
+    size = len(vocabulary) + 1 + 6
+
+    def summed(job: Callable[[Part, np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, width: int) -> tuple[float, np.ndarray]:
+        sent = context.broadcast(w)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            value, total = 0.0, np.zeros(width)
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    more, vector = job(Part(*(np.frombuffer(batch.column(k)[r].as_buffer(), kind) for k, kind in enumerate(_PART))), sent.value)
+                    value, total = value + more, total + vector
+            yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([total.tobytes()], pa.binary())], ["value", "total"])
+
+        found = parts.mapInArrow(run, "value double, total binary").collect()  # a vector of each of 16 partitions
+        sent.destroy()
+        return sum(r["value"] for r in found), sum(np.frombuffer(r["total"]) for r in found)
+
+    start = np.zeros(size)
+    start[-6] = -4.0
+    w = maximise(lambda x: summed(likelihood, x, size), start, rules.rounds, rules.ridge)
+
+    def masses(own: Part, w: np.ndarray) -> tuple[float, np.ndarray]:
+        p = marginals(scores(own, w[:-6]) + w[-6], own.first, w[-5:-1].reshape(2, 2), w[-1])
+        return 0.0, np.concatenate([np.bincount(own.side, p, 2), np.bincount(own.side, minlength=2)])
+
+    _, (mass0, mass1, words0, words1) = summed(masses, w, 4)
+    shared.destroy()
+    rates = (float((mass1 + 0.5) / (words1 + 1)), float((mass0 + 0.5) / (words0 + 1)))
+    used = np.flatnonzero(np.abs(w[: len(vocabulary)]) > 1e-6)
+    return Model(vocabulary[used], w[used], w[-6:], rates, float(np.log(counts[True] / counts[False])))
+
+
+def tagged(own: Words, model: Model) -> np.ndarray:
+    """The probability that each word is toxic."""
+    w = np.append(model.weights, 0.0)[places(own.codes, model.codes)]
+    if len(own.type) == 0:
+        return np.zeros(0)
+    s = _around(own.type, own.first, w[:-2].sum(axis=0) + model.rest[0], w[-2], w[-1])
+    return marginals(s, own.first, model.rest[1:5].reshape(2, 2), model.rest[5])
+
+
+def odds(toxic_words: np.ndarray, words: np.ndarray, model: Model) -> np.ndarray:
+    """Log-odds that a text of so many words, of which so many are expected to be toxic, is toxic."""
     high, low = model.rates
-    odds = model.prior + toxic_words * np.log(high / low) - words * (high - low)
-    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    return model.prior + toxic_words * np.log(high / low) - words * (high - low)
+
+
+def document_score(mass: np.ndarray, where: np.ndarray, model: Model, stretch: int) -> np.ndarray:
+    """The score of each document, or that of its most toxic stretch if it has several. mass: the sum of marginals before each
+    word (one more entry than words)."""
+    size = np.diff(where)
+    best = odds(mass[where[1:]] - mass[where[:-1]], size, model)
+    long = np.flatnonzero(size > stretch)
+    if len(long):
+        half = max(1, stretch // 2)
+        n = -(-(size[long] - stretch) // half) + 1  # stretches overlap by a half
+        doc = np.repeat(long, n)
+        begin = np.minimum(where[doc] + tx.ragged(np.zeros(len(n), np.int64), n) * half, where[doc + 1] - stretch)
+        of = odds(mass[begin + stretch] - mass[begin], np.full(len(begin), stretch), model) - np.log(np.repeat(n, n))
+        np.maximum.at(best, doc, of)
+    return 1 / (1 + np.exp(-np.clip(best, -500, 500)))
 
 
 def scored(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), model: Model | None = None) -> DataFrame:
@@ -286,12 +419,12 @@ def scored(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), model: Mo
         for batch in batches:
             for piece in tx.slices(batch.column(1)):
                 ids = batch.column(0).slice(piece.first, piece.count)
-                codes, ratios = (model.codes, model.ratios) if model else (np.zeros(0, np.uint64), np.zeros(0))
-                begins, ends, where, *own = _observed(piece, codes, ratios)
-                words = np.diff(where)
-                p = _tagged(*own, model) if model else np.zeros(len(begins))
-                mass = np.diff(np.append(0, np.cumsum(p))[where])
-                score = document_score(mass, words, model) if model else np.zeros(piece.count)
+                own = words(piece)
+                begins, ends, where = own[:3]
+                p = tagged(own, model) if model else np.zeros(len(begins))
+                sums = np.append(0, np.cumsum(p))
+                mass, n = sums[where[1:]] - sums[where[:-1]], np.diff(where)
+                score = document_score(sums, where, model, rules.stretch) if model else np.zeros(piece.count)
                 hit = np.flatnonzero(p > 0.5)
                 doc = np.searchsorted(where, hit, "right") - 1
                 lead = np.ones(len(hit), bool)
@@ -303,7 +436,7 @@ def scored(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), model: Mo
                 pairs = pa.StructArray.from_arrays([pa.array(chars[begins[hit[at]]] - base, pa.int32()), pa.array(chars[ends[last]] - base, pa.int32())], ["begin", "end"])
                 spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[at], np.arange(piece.count + 1)), pa.int32()), pairs)
                 judged = pa.array(score) if model else pa.nulls(piece.count, pa.float64())
-                yield pa.RecordBatch.from_arrays([ids, judged, pa.array(score > rules.floor), pa.array(mass), pa.array(words, pa.int32()), spans], ["doc_id", "score", "toxic", "toxic_words", "words", "spans"])
+                yield pa.RecordBatch.from_arrays([ids, judged, pa.array(score > rules.floor), pa.array(mass), pa.array(n, pa.int32()), spans], ["doc_id", "score", "toxic", "toxic_words", "words", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCORED)
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import struct
 
@@ -75,9 +76,10 @@ def test_wave_files_tensors_and_spans(spark, tmp_path):
     assert abs(segment.begin_s - 1) < 0.03 and abs(segment.end_s - 2) < 0.03
     two = [r for r in got if r.doc_id == 2]
     assert [r.tensor for r in two] == [r.tensor for r in own]  # both channels are the same
-    assert all(len(r.tensor) == 4000 for r in got if r.frames) and all(x == 0 for x in own[-1].tensor[99 * 40 :])
+    assert all(len(r.tensor) == 4000 for r in got if r.frames) and all(abs(x - np.log(1e-6)) < 1e-4 for x in own[-1].tensor[99 * 40 :])
     assert sorted(str(r.doc_id) for r in got if not r.frames) == ["5", "6", "7", "8"] and all(r.tensor is None and r.end_s == 0 for r in got if not r.frames)
     assert [r.frames for r in got if r.doc_id is None] == [1]
+    assert {r.doc_id: r.error for r in got if r.error} == {6: "empty", 7: "unreadable", 8: "no samples"} and next(r for r in got if r.doc_id == 5).error is None
     table = audio.fixed_shape(out.toArrow())
     kind = table.schema.field("tensor").type
     assert isinstance(kind, pa.FixedShapeTensorType) and kind.shape == [100, 40]
@@ -91,7 +93,7 @@ def test_wave_files_tensors_and_spans(spark, tmp_path):
 
 def test_audio_edges(spark):
     got = audio.audio(edge_docs(spark), "text").collect()
-    assert len({(r.doc_id, r.part) for r in got}) <= len(got) and sum(r.part == 0 for r in got) == len(edge_rows())
+    assert all(r.frames for r in got if r.part) and sum(r.part == 0 for r in got) == len(edge_rows())
     assert sum(r.frames == 0 for r in got) == 3
     assert audio.audio(empty_docs(spark), "text").count() == 0
 
@@ -236,3 +238,52 @@ def test_wave_of_24_bits_floats_and_extensible_headers():
     assert len(audio.samples(wave(2, 4, three), 1)[0]) == 0 and len(audio.samples(wave(1, 24, three, 2), 1)[0]) == 0
     odd = np.array([np.nan, np.inf, -np.inf, 3], "<f4").tobytes()
     assert audio.samples(wave(3, 32, odd), 1)[0].tolist() == [0, 1, -1, 1]
+
+
+def _part(seed, texts=12):
+    pick = np.random.default_rng(seed)
+    made = [" ".join(pick.choice(["idiot", "fine", "Stone", "x9", "über", "walking", "walker"], size=int(pick.integers(1, 9)))) for _ in range(texts)]
+    piece = next(iter(tx.slices(pa.array(made))))
+    own = tox.words(piece)
+    known = np.unique(own.codes[own.codes != 0])
+    part = tox.part(piece, pick.random(piece.count) < 0.5, known[::2], np.unique(own.codes[:8, 0]))
+    return part, len(known[::2]) + 7
+
+
+def test_likelihood_and_gradient_against_finite_differences_and_all_taggings():
+    part, size = _part(4)
+    rng = np.random.default_rng(5)
+    w = rng.normal(size=size) * 0.5
+    w[-7] = 0
+    value, gradient = tox.likelihood(part, w)
+    # All taggings of all texts.
+    s = tox.scores(part, w[:-6]) + w[-6]
+    begins = [*np.flatnonzero(part.first), len(part.first)]
+    moves, want = w[-5:-1].reshape(2, 2), 0.0
+    for a, b in zip(begins, begins[1:]):
+        def of(tags, a=a):
+            return w[-1] * tags[0] + sum(s[a + k] * t for k, t in enumerate(tags)) + sum(moves[x, y] for x, y in zip(tags, tags[1:]))
+        want += of([int(x) for x in part.label[a:b]]) - np.log(sum(np.exp(of(t)) for t in itertools.product((0, 1), repeat=b - a)))
+    assert np.isclose(value, want)
+    for k in np.delete(np.arange(size), size - 7):
+        step = np.zeros(size)
+        step[k] = 1e-5
+        slope = (tox.likelihood(part, w + step)[0] - tox.likelihood(part, w - step)[0]) / 2e-5
+        assert np.isclose(gradient[k], slope, atol=1e-4), k
+
+
+def test_ascent_finds_the_maximum():
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(30, 8))
+    y = rng.normal(size=30)
+    found = tox.maximise(lambda w: (-float(((a @ w - y) ** 2).sum()) / 2, -a.T @ (a @ w - y)), np.zeros(8), 40, 0.5)
+    assert np.allclose(found, np.linalg.solve(a.T @ a + 0.5 * np.eye(8), a.T @ y), atol=1e-3)
+
+
+def test_one_toxic_passage_in_a_very_long_document(spark):
+    docs = [(k, insulted(k) if k % 5 == 0 else prose(k, 100)) for k in range(400)]
+    docs += [(500, prose(500, 9000) + " " + " ".join(insulted(k) for k in range(600, 606)) + " " + prose(501, 9000)), (501, prose(502, 18_000)), (0, insulted(0)), (0, insulted(0))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(400)], "doc_id long, toxic int")
+    out = {r.doc_id: r for r in tox.scored(df, marks).collect()}
+    assert out[500].toxic and len(out[500].spans) >= 15 and not out[501].toxic

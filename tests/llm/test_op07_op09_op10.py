@@ -2,6 +2,7 @@ import random
 import textwrap
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
@@ -261,3 +262,32 @@ def test_packed_documents_are_whole(spark):
     again = packing.packed(docs.repartition(7, F.rand(1)), rules)
     assert sorted(map(str, again.collect())) == sorted(map(str, out))  # however the rows lie
     assert packing.packed(empty_docs(spark)).count() == 0
+
+
+def test_long_pieces_and_bounded_tables():
+    own = bpe.Encoder([bytes([k]) for k in range(256)] + [b"ab", b"abab", b"ba", b"aba"])
+    pick = random.Random(8)
+    raw = bytes(pick.choice(b"ab") for _ in range(3 * bpe._WINDOW + 17))
+    found = own.encode(raw)
+    assert own.decode(np.asarray(found)).tobytes() == raw
+    # Tokens of a part that ends in a letter that merges with nothing are those of the whole.
+    cut = raw[: bpe._WINDOW + 5] + b"x" + raw[bpe._WINDOW + 5 :]
+    a, b, c = own.encode(cut[: bpe._WINDOW + 5]), own.encode(b"x"), own.encode(cut[bpe._WINDOW + 6 :])
+    assert list(own.encode(cut)) == [*a, *b, *c]
+
+
+def test_tables_are_emptied_and_filled_again(monkeypatch):
+    monkeypatch.setattr(bpe, "_MOST_CACHED", 50)
+    monkeypatch.setattr(bpe, "_MOST_POOLED", 200)
+    monkeypatch.setattr(bpe, "_MOST_PAIRS", 20)
+    tokens = [bytes([k]) for k in range(256)] + [b"ab", b"abc", b"bc"]
+    small, free = bpe.Encoder(tokens), bpe.Encoder(tokens)
+    pick = random.Random(9)
+    for _ in range(40):
+        piece = next(iter(tx.slices(pa.array([" ".join("".join(pick.choice("abc") for _ in range(pick.randint(1, 9))) for _ in range(12))]))))
+        a, x = small.encode_slice(piece)
+        assert small.decode(a).tobytes() == piece.data.tobytes() and len(small.known) + len(small.recent) <= 50 + 24
+        monkeypatch.setattr(bpe, "_MOST_CACHED", 1 << 20)
+        b, y = free.encode_slice(piece)
+        monkeypatch.setattr(bpe, "_MOST_CACHED", 50)
+        assert np.array_equal(a, b) and np.array_equal(x, y)
