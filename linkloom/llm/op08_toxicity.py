@@ -323,8 +323,8 @@ def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model | N
     chosen = some(True, rules.sample // 3).unionByName(some(False, rules.sample - rules.sample // 3))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").distinct()  # ``sample`` rows at most are broadcast
-    # Hashed to as many partitions as there are cores, whatever these documents' sizes: a sum of doubles depends on the order.
-    sample = kept(found.select("text", "y").repartition(16, F.xxhash64("doc_id", "text", "y")))
+    # Hashed to a fixed number of partitions: a sum depends on the order. The sample is bounded, and each sends its sums to the driver.
+    sample = kept(found.select("text", "y").repartition(8, F.xxhash64("doc_id", "text", "y")))
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return None
@@ -358,11 +358,11 @@ def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model | N
                 for r in range(batch.num_rows):
                     more, vector = job(Part(*(np.frombuffer(batch.column(k)[r].as_buffer(), kind) for k, kind in enumerate(_PART))), sent.value)
                     value, total = value + more, total + vector
-            yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([total.tobytes()], pa.binary())], ["value", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["value", "total"])
 
-        found = parts.mapInArrow(run, "value double, total binary").collect()  # a vector of each of 16 partitions
+        found = parts.mapInArrow(run, "value double, total binary").collect()  # a vector of each of 8 partitions
         sent.destroy()
-        return sum(r["value"] for r in found), sum(np.frombuffer(r["total"]) for r in found)
+        return sum(r["value"] for r in found), sum(np.frombuffer(r["total"], np.float32).astype(float) for r in found)
 
     start = np.zeros(size)
     start[-6] = -4.0
