@@ -2,8 +2,8 @@
 
 Each language has a model of byte trigrams (letters folded, everything else a space), counted over every labelled
 document. A document is a mixture of languages: expectation-maximisation estimates the proportions from its trigram
-likelihoods, and languages are added one by one while the gain in log-likelihood exceeds a penalty per language. A uniform
-model, ``und``, competes with the languages and takes what none of them explains.
+likelihoods, and languages are added one by one while the gain in log-likelihood exceeds a penalty per language, and taken away again where
+later ones make up for them. A uniform model, ``und``, competes with the languages and takes what none of them explains.
 
 Defined results: a null, empty or letterless text has languages ``['und']``, no grams and is not kept; a text with letters
 but no trigram is ``und`` too, and kept, being too short to judge. A null ``lang`` counts for no model and never conflicts. Ties go to the language that sorts first. Repeated rows are scored each on its
@@ -146,6 +146,12 @@ def infer(found: np.ndarray, models: Models, rules: Rules) -> tuple[list[int], n
             break
         k, share, best = max(tried, key=lambda x: x[2])
         chosen.append(k)
+        while len(chosen) > 1:  # what came first may be needed no longer
+            fewer = ([x for x in chosen if x != k] for k in chosen)
+            left, less, worse = max(((own, *mixture(chance[:, own], counts, rules.steps)) for own in fewer), key=lambda x: x[2])
+            if best - worse >= fee:
+                break
+            chosen, share, best = left, less, worse
     order = np.argsort(-share, kind="stable")
     return [chosen[k] for k in order], share[order]
 

@@ -135,6 +135,8 @@ class Encoder:
         pair = left << 32 | right
         known = self.compatible.get(pair)
         if known is None:
+            if len(self.compatible) >= _MOST_PAIRS:
+                self.compatible.clear()
             known = self.compatible[pair] = self._fits(left, right)
         return known
 
@@ -235,8 +237,6 @@ class Encoder:
         if len(self.known) + len(self.recent) > _MOST_CACHED or self.used > _MOST_POOLED:
             self.known, self.spans, self.recent, self.fresh, self.used = self.known[:0], self.spans[:0], self.recent[:0], self.fresh[:0], 0
             self.pool = self.pool[: 1 << 16].copy()
-        if len(self.compatible) > _MOST_PAIRS:
-            self.compatible.clear()
         spans = np.zeros((len(names), 2), np.int32)
         left = self._lookup(self.known, self.spans, names, spans, np.arange(len(names)))
         new = self._lookup(self.recent, self.fresh, names, spans, left)

@@ -1,3 +1,4 @@
+import itertools
 import math
 from collections import Counter
 
@@ -118,3 +119,25 @@ def test_divergence_against_sql(spark):
     plain = lambda rows: sorted(([None if x != x else x for x in r] for r in rows), key=str)
     got = op1.divergence(spark.createDataFrame(docs.astype(object).where(docs.notna(), None), "doc_id long, text string, lang string")).collect()
     assert plain(got) == plain(db.execute(op1.sql()).fetchall())
+
+
+def test_language_sets_against_all_subsets():
+    rng = np.random.default_rng(12)
+    side = 300
+    chance = rng.dirichlet(np.full(side, 0.2), size=5).T
+    models = op5.Models(("a", "b", "c", "d", "und"), chance)
+    rules = op5.Rules(steps=400)
+    same = 0
+    for _ in range(30):
+        own = rng.choice(5, rng.integers(1, 4), replace=False)
+        share = rng.dirichlet(np.ones(len(own)))
+        found = rng.choice(side, 800, p=chance[:, own] @ share).astype(np.uint16)
+        counts = np.bincount(found, minlength=side).astype(float)
+        used = counts > 0
+        fee = rules.penalty * np.log(len(found))
+        value = lambda x: op5.mixture(chance[used][:, list(x)], counts[used], rules.steps)[1] - fee * (len(x) - 1)
+        best = max((x for n in range(1, 6) for x in itertools.combinations(range(5), n)), key=value)
+        got, shares = op5.infer(found, models, rules)
+        assert abs(shares.sum() - 1) < 1e-9 and value(sorted(got)) >= value(best) - 0.5
+        same += set(got) == set(best)
+    assert same >= 29

@@ -287,3 +287,19 @@ def test_one_toxic_passage_in_a_very_long_document(spark):
     marks = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(400)], "doc_id long, toxic int")
     out = {r.doc_id: r for r in tox.scored(df, marks).collect()}
     assert out[500].toxic and len(out[500].spans) >= 15 and not out[501].toxic
+
+
+def test_normal_equations_against_a_direct_solution(spark):
+    docs = spark.createDataFrame([(k, prose(k, 20 + k % 60) + (" !!!" * (k % 7) if k % 2 else "")) for k in range(240)], "doc_id long, text string").repartition(6)
+    marks = spark.createDataFrame([(k, k % 2) for k in range(240)], "doc_id long, quality int")
+    rules = quality.Rules(features=24)
+    stats = quality.measured(docs)
+    model = quality.fit(stats, marks, rules)
+    rows = stats.selectExpr("doc_id", "stats", f"pmod(xxhash64(doc_id), 100) < {rules.held} as held").collect()
+    x = np.array([r.stats for r in rows if not r.held])
+    y = np.array([r.doc_id % 2 for r in rows if not r.held], float)
+    assert np.allclose(model.mean, x.mean(axis=0)) and 0 < len(x) < 240
+    z = np.concatenate([model.cosines(x), np.ones((len(x), 1))], axis=1)
+    penalty = np.eye(25) * rules.ridge * len(x)
+    penalty[-1, -1] = 0
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + penalty, z.T @ y), atol=1e-6)
