@@ -6,7 +6,9 @@ free space, so the best fit is the lowest set bit at or above the piece's length
 more, the fullest is closed. A bin that is full closes at once.
 
 Documents are packed in groups by a hash of doc_id and length, each in the order of doc_id and length; the groups follow
-from the total length alone, so the result is the same on every cluster. Lengths are bytes of UTF-8.
+from the total length alone, so the result is the same on every cluster. Lengths are bytes of UTF-8. Rows equal in doc_id and
+length are counted before they are shuffled, and spread over the groups in runs of about a megabyte, so that a doc_id (or a
+missing one) that many rows share fills no group beyond its share; such rows can stand for one another.
 
 A null or empty text has no piece. A null doc_id is packed (first in its group) and stays null. Rows of equal doc_id are packed
 each on their own. An empty table gives no rows. Extra columns are ignored, whatever their names.
@@ -72,7 +74,8 @@ def pack(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[int],
     return bins, places
 
 
-def _pack_group(group: int, ids: list, lengths: np.ndarray, rules: Rules) -> pa.RecordBatch:
+def _pack_group(group: int, ids: pa.Array, lengths: np.ndarray, times: np.ndarray, rules: Rules) -> pa.RecordBatch:
+    ids, lengths = ids.take(pa.array(np.repeat(np.arange(len(times)), times))), np.repeat(lengths, times)
     pieces = -(-lengths // rules.capacity)
     owner = np.repeat(np.arange(len(lengths)), pieces)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -90,7 +93,7 @@ def _run(rules: Rules):
 
         def done() -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
-            return _pack_group(now, table.column("doc_id").combine_chunks(), table.column("length").to_numpy(), rules)
+            return _pack_group(now, table.column("doc_id").combine_chunks(), table.column("length").to_numpy(), table.column("times").to_numpy(), rules)
 
         for batch in batches:  # in order of group
             group = batch.column(0).to_numpy(zero_copy_only=False)
@@ -111,7 +114,12 @@ def _run(rules: Rules):
 
 def packed(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per piece: doc_id, piece (from 0), begin (byte in the document), length, bin, place (byte in the bin)."""
-    sizes = kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("text").cast("string")).cast("long").alias("length")).where("length > 0"))
-    groups = -(-(sizes.agg(F.sum("length")).first()[0] or 0) // (rules.group_mb << 20)) or 1
-    grouped = sizes.select(F.pmod(F.xxhash64("doc_id", "length"), F.lit(groups)).cast("long").alias("group"), "doc_id", "length")
+    lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("text").cast("string")).cast("long").alias("length")).where("length > 0")
+    sizes = kept(lengths.groupBy("doc_id", "length").agg(F.count("*").alias("n")))
+    groups = -(-(sizes.agg(F.sum(F.col("length") * F.col("n"))).first()[0] or 0) // (rules.group_mb << 20)) or 1
+    # Runs of rows that are alike, by thousands of runs, so that no array of their numbers is long.
+    many = sizes.withColumn("most", F.greatest(F.lit(1), F.expr(f"{1 << 20} div length")))
+    many = many.withColumn("thousand", F.explode(F.expr("sequence(0, (n - 1) div most div 1024)")))
+    many = many.withColumn("run", F.explode(F.expr("sequence(thousand * 1024, least(thousand * 1024 + 1023, (n - 1) div most))")))
+    grouped = many.select(F.pmod(F.xxhash64("doc_id", "length", "run"), F.lit(groups)).cast("long").alias("group"), "doc_id", "length", F.expr("least(most, n - run * most)").alias("times"))
     return grouped.repartition("group").sortWithinPartitions("group", "doc_id", "length").mapInArrow(_run(rules), _PACKED)

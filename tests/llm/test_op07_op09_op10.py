@@ -264,6 +264,18 @@ def test_packed_documents_are_whole(spark):
     assert packing.packed(empty_docs(spark)).count() == 0
 
 
+def test_rows_that_are_alike_fill_no_group(spark):
+    rules = packing.Rules(capacity=1 << 16, open_bins=4, group_mb=4)
+    text = F.repeat(F.lit("x"), 1 << 10)
+    alike = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
+    docs = alike.unionByName(spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), 5000).alias("text")))
+    out = packing.packed(docs, rules)
+    by = {r.group: r for r in out.groupBy(F.shiftright("bin", 32).alias("group")).agg(F.sum("length").alias("size"), F.count("*").alias("n")).collect()}
+    assert sum(r.n for r in by.values()) == 32_000 and sum(r["size"] for r in by.values()) == 30_000 * 1024 + 2000 * 5000
+    assert len(by) > 5 and max(r["size"] for r in by.values()) < 12 << 20
+    assert out.groupBy("bin").agg(F.sum("length").alias("size"), F.max(F.col("place") + F.col("length")).alias("end")).where("size > 65536 or size != end").isEmpty()
+
+
 def test_long_pieces_and_bounded_tables():
     own = bpe.Encoder([bytes([k]) for k in range(256)] + [b"ab", b"abab", b"ba", b"aba"])
     pick = random.Random(8)
