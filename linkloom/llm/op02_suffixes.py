@@ -9,8 +9,8 @@ array loses no repeat, and it is a twelfth of the full one. Each anchor carries
 Splitters are sampled from the suffixes and range-partition them by their leading words; the sample and the ranges are bounded
 (``ranges``), and a range is cut evenly between its splitters into the buckets that the size of the table asks for. Each bucket
 sorts its suffixes by multikey quicksort and compares the passages of suffixes that agree. A suffix that occurs often may itself
-be a splitter and then lie in several ranges, which keeps them even; such runs are compared across the boundaries in a second
-step.
+be a splitter and then lie in several ranges, which keeps them even; within a range, those that the sample holds several times
+are spread over its buckets. Such runs are compared across the boundaries in a second step.
 
 Of the places of a passage, the one of least doc_id (null last), then least text hash, then position is the original; the
 others are repeats. Rows equal in doc_id and text are one document. Rows of equal doc_id but different text are different
@@ -197,18 +197,22 @@ def bucket(words: np.ndarray, tie: np.ndarray, splits: np.ndarray) -> tuple[np.n
     return at, hot
 
 
+def _code(words: np.ndarray) -> np.ndarray:
+    """One number for the three keys of each suffix."""
+    return tx.mix(words[0] + tx.mix(words[1] + tx.mix(words[2])))
+
+
 def _within(words: np.ndarray, at: np.ndarray, splits: np.ndarray, subs: int) -> np.ndarray:
     """Which of ``subs`` even parts of its range each suffix lies in, by its first key; keys are hashes, so they lie evenly."""
-    if subs <= 1:
-        return np.zeros(len(at), np.int32)
     lows = np.append(np.uint64(0), splits[0]).astype(np.float64)
     highs = np.append(splits[0], np.uint64((1 << 64) - 1)).astype(np.float64)
     low, size = lows[at], np.maximum(highs[at] - lows[at], 1.0)
     return np.clip(((words[0].astype(np.float64) - low) / size * subs).astype(np.int64), 0, subs - 1).astype(np.int32)
 
 
-def _pack(held: list, splits: np.ndarray, subs: int) -> Iterator[pa.RecordBatch]:
-    """Rows by bucket of what was collected: (ids, nulls, keys, suffixes) of slices."""
+def _pack(held: list, splits: np.ndarray, often: np.ndarray, subs: int) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket of what was collected: (ids, nulls, keys, suffixes) of slices. often: the codes of suffixes that are
+    spread over the parts of a range."""
     base = np.cumsum([0, *(len(x[0]) for x in held)])
     ids, nulls, keys = (np.concatenate([x[k] for x in held]) for k in range(3))
     doc = np.concatenate([x[3].doc + b for x, b in zip(held, base)])
@@ -217,8 +221,14 @@ def _pack(held: list, splits: np.ndarray, subs: int) -> Iterator[pa.RecordBatch]
     windows = np.concatenate([x[3].windows for x in held])
     if len(doc) == 0:
         return
-    to, hot = bucket(words, _tie(keys[doc], start), splits)
-    to = to.astype(np.int64) * subs + _within(words, to, splits, subs)
+    tie = _tie(keys[doc], start)
+    to, hot = bucket(words, tie, splits)
+    to = to.astype(np.int64)
+    if subs > 1:
+        part = _within(words, to, splits, subs)
+        spread = np.isin(_code(words), often)
+        part[spread] = tx.mix(tie[spread]) % np.uint64(subs)
+        to, hot = to * subs + part, hot | spread
     flags = hot.astype(np.uint8)
     order = np.argsort(to, kind="stable")
     windows = windows[tx.ragged((np.cumsum(count) - count)[order], count[order])]
@@ -236,7 +246,7 @@ def _pack(held: list, splits: np.ndarray, subs: int) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in rows[:2]), *(pa.array(x, pa.binary()) for x in rows[2:])], [x.split()[0] for x in _PACKED.split(", ")])
 
 
-def _emit(splits, subs: int, rules: Rules):
+def _emit(cuts, subs: int, rules: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -248,10 +258,10 @@ def _emit(splits, subs: int, rules: Rules):
                 held.append((ids[own], nulls[own], keys[own], suffixes(piece, rules)))
                 size += len(piece.data)
                 if size >= rules.flush:
-                    yield from _pack(held, splits.value, subs)
+                    yield from _pack(held, *cuts.value, subs)
                     held, size = [], 0
         if held:
-            yield from _pack(held, splits.value, subs)
+            yield from _pack(held, *cuts.value, subs)
 
     return run
 
@@ -271,19 +281,22 @@ def _sample(rules: Rules, share: float):
     return run
 
 
-def splitters(keyed: DataFrame, ranges: int, size: int, rules: Rules) -> np.ndarray:
+def splitters(keyed: DataFrame, ranges: int, size: int, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
     """Keys that cut the suffixes of a table of ``size`` bytes into ``ranges`` about even ranges, from a sample of about
-    ``rules.sample`` suffixes for each. They decide where suffixes are compared, never what is found."""
+    ``rules.sample`` suffixes for each; and the codes of those that the sample holds three times or more. They decide where
+    suffixes are compared, never what is found."""
     if ranges <= 1:
-        return np.zeros((4, 0), np.uint64)
+        return np.zeros((4, 0), np.uint64), np.zeros(0, np.uint64)
     share = min(1.0, rules.sample * ranges / max(1.0, 2 * size / (72 if rules.reach > 1 else 6)))  # a word is about six bytes, files are packed to half
     some = min(1.0, 16 * share)  # of the documents, of whose suffixes the rest
     rows = keyed.sample(some, seed=5).mapInArrow(_sample(rules, share / some), _SPLIT).toPandas()
     found = np.stack([rows[k].to_numpy(np.int64).view(np.uint64) for k in ("w0", "w1", "w2", "tie")]) if len(rows) else np.zeros((4, 0), np.uint64)
     found = found[:, np.lexsort(found[::-1])]
+    codes, times = np.unique(_code(found[:3]), return_counts=True)
+    often = codes[times > 2]
     if found.shape[1] < ranges:
-        return found[:, :0]
-    return found[:, (np.arange(1, ranges) * found.shape[1]) // ranges]
+        return found[:, :0], often
+    return found[:, (np.arange(1, ranges) * found.shape[1]) // ranges], often
 
 
 def _islands(rank: np.ndarray, start: np.ndarray, original: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
@@ -386,8 +399,8 @@ def _repeats(docs: DataFrame, rules: Rules) -> DataFrame:
     buckets = width(docs, rules.bucket_mb)
     ranges = min(buckets, rules.ranges)
     subs = -(-buckets // ranges)
-    splits = spark.sparkContext.broadcast(splitters(texts, ranges, size(docs), rules))
-    packed = texts.mapInArrow(_emit(splits, subs, rules), _PACKED).repartitionById(ranges, F.col("bucket"))
+    cuts = spark.sparkContext.broadcast(splitters(texts, ranges, size(docs), rules))
+    packed = texts.mapInArrow(_emit(cuts, subs, rules), _PACKED).repartitionById(ranges, F.col("bucket"))
     found = kept((packed.sortWithinPartitions("sub") if subs > 1 else packed).mapInArrow(_compare(rules), _FOUND))
     first = Window.partitionBy("window").orderBy(F.col("doc_id").asc_nulls_last(), "key", "begin")
     crossing = (

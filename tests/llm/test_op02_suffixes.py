@@ -141,6 +141,23 @@ def test_ranges_are_bounded_and_cut_evenly(spark, tmp_path):
         assert op.width(df, rules.bucket_mb) > 8 * ranges and found(df, rules) == brute(docs, 20)
 
 
+def test_frequent_suffixes_of_a_range_are_spread_over_its_buckets(spark, tmp_path):
+    passage = prose("everywhere", 40)
+    docs = corpus(21) + [(1000 + k, prose(f"own{k}", 6) + " " + passage) for k in range(400)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(path)
+    df = spark.read.parquet(path)
+    rules = op.Rules(min_words=20, bucket_mb=0.0005, flush=1 << 12, ranges=2, sample=512)
+    cuts, often = op.splitters(op.keyed(df), 2, op.size(df), rules)
+    assert len(often) and found(df, rules) == brute(docs, 20)
+    alike = np.repeat(np.array([[5], [6], [7]], np.uint64), 1000, axis=1)
+    held = op.Suffixes(np.arange(1000), np.zeros(1000, np.int64), np.ones(1000, np.int64), alike, np.full(1000, 9, np.uint64))
+    keys = np.arange(1000) * 7919
+    for codes, parts in ((op._code(alike[:, :1]), 50), (np.zeros(0, np.uint64), 1)):
+        (batch,) = op._pack([(keys, np.zeros(1000, np.uint8), keys, held)], cuts, codes, 50)
+        assert len(set(batch.column(1).to_pylist())) == parts
+
+
 def test_passages_have_words():
     with pytest.raises(ValueError):
         op.Rules(min_words=1)
