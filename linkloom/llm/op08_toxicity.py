@@ -17,7 +17,7 @@ discounted by how many stretches it has. Offending spans are maximal runs of wor
 
 The model is fitted on at most ``sample`` labelled documents, by a hash of doc_id; everything else is over all documents
 and whole texts. A null or empty text has score of no words and no spans. Labels of null doc_id or null toxic count for
-nothing; contradicting labels count each; repeated rows of a labelled document count once. Without labels of both kinds every
+nothing; contradicting labels count each; of the rows of a labelled doc_id one counts, that of least hash of the text. Without labels of both kinds every
 score is null and no document is toxic. Repeated rows are scored each. An empty table gives no rows. Extra columns are ignored,
 whatever their names.
 """
@@ -322,7 +322,8 @@ def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model | N
     some = lambda toxic, n: known.where(F.col("y") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = some(True, rules.sample // 3).unionByName(some(False, rules.sample - rules.sample // 3))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").distinct()  # ``sample`` rows at most are broadcast
+    found = texts.join(F.broadcast(chosen), "doc_id")  # ``sample`` rows at most are broadcast
+    found = found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # however many rows share a doc_id
     # Hashed to a fixed number of partitions: a sum depends on the order. The sample is bounded, and each sends its sums to the driver.
     sample = kept(found.select("text", "y").repartition(8, F.xxhash64("doc_id", "text", "y")))
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}

@@ -303,3 +303,13 @@ def test_normal_equations_against_a_direct_solution(spark):
     penalty = np.eye(25) * rules.ridge * len(x)
     penalty[-1, -1] = 0
     assert np.allclose(model.weights, np.linalg.solve(z.T @ z + penalty, z.T @ y), atol=1e-6)
+
+
+def test_a_labelled_id_that_many_rows_share_counts_once(spark):
+    texts = [(k, prose(f"c{k}", 60) + (" zapfool " + prose(f"d{k}", 5)) * 3 * (k % 2), k % 2 > 0) for k in range(80)]
+    df = spark.createDataFrame([(k, t) for k, t, _ in texts], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, y) for k, _, y in texts], "doc_id long, toxic boolean")
+    more = spark.range(3000).selectExpr("1L as doc_id", "concat('never ', id) as text")
+    once, many = tox.fit(df, marks), tox.fit(df.where("doc_id != 1").unionByName(more), marks)
+    assert abs(many.rates[0] - once.rates[0]) < 0.02 and len(many.codes) > 0
+    assert np.array_equal(tox.fit(df.unionByName(df), marks).codes, once.codes)
