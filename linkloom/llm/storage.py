@@ -35,6 +35,12 @@ def place(spark: SparkSession) -> str:
     return f"{shared(spark).rstrip('/')}/linkloom-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, at: str) -> None:
+    """Takes away a table that was written to a ``place``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def size(df: DataFrame) -> int:
     """Bytes of the tables that ``df`` reads; above 2^60 if that isn't known."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
