@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm import op01_divergence, op02_suffixes, op05_language, op06_simhash, op10_packing
-from linkloom.llm.storage import place
+from linkloom.llm.storage import place, removed
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +47,14 @@ ORACLE_SQL = None  # mixture inference, SimHash, repeats at any offset and onlin
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; of their tables the last is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         at = f"{place(spark)}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before:
+            removed(spark, before)
+        before = at
     return docs
