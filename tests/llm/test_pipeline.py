@@ -1,3 +1,5 @@
+import os
+
 import corpus_pipeline
 from tests.llm.helpers import WORDS, edge_rows, prose
 
@@ -41,10 +43,15 @@ def test_run_gives_the_last_stage(spark, tmp_path):
     spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "piece", "begin", "length", "bin", "place"] and out.count() >= 120
+    (left,) = {f.rpartition("/")[0] for f in out.inputFiles()}
+    folder, _, last = left.removeprefix("file://").removeprefix("file:").rpartition("/")
+    assert last.endswith("-packing") and last in os.listdir(folder) and not [x for x in os.listdir(folder) if x.endswith("-passages")]
 
 
 def test_edges(spark, tmp_path):
     for rows in (edge_rows(), []):
         at = tmp_path / str(len(rows))
         spark.createDataFrame(rows, SCHEMA).write.parquet(str(at / "documents.parquet"))
-        assert corpus_pipeline.run(spark, str(at)).count() >= 0
+        out = corpus_pipeline.run(spark, str(at)).collect()
+        # Of the copies of a text one stays at most, and what has no text has no piece.
+        assert len({(r.doc_id, r.begin, r.length) for r in out}) == len(out) and not {1, 2, 8} & {r.doc_id for r in out} and bool(out) == bool(rows)
