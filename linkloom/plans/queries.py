@@ -499,11 +499,11 @@ def links_explode_dedup(spark, sf_dir):
     return states.first_wins(found.withColumn("at", F.struct("page_id", "place")), order="at").select("fingerprint", F.col("page_id").alias("first_page"))
 
 
-@query(f"with {_LINKS} select {_HOST} as host, list_sort(list(sha1(url))) as links, count(*) as n from (select distinct url from l) group by 1")
+@query(f"with {_LINKS}, h as (select {_HOST} as host, sha1(url) as f from (select distinct url from l)), c as (select *, cast(ceil(count(*) over (partition by host) / 20) as bigint) as parts from h where host is not null) select host, cast(cast('0x' || right(f, 8) as bigint) % parts as integer) as part, list_sort(list(f)) as links, count(*) as n from c group by 1, 2")
 def links_per_host(spark, sf_dir):
     found = sitemap.page_links(_t(spark, sf_dir, "pages")).select("url").distinct()
-    grouped = log.per_host(found.select("url", urls.host(F.col("url")).alias("host"), F.sha1("url").alias("fingerprint")))
-    return grouped.select("host", F.transform("links", lambda x: x["fingerprint"]).alias("links"), "n")
+    grouped = log.per_host(found.select("url", urls.host(F.col("url")).alias("host"), F.sha1("url").alias("fingerprint")), most=20)
+    return grouped.select("host", "part", F.transform("links", lambda x: x["fingerprint"]).alias("links"), "n")
 
 
 @query(f"with {_LINKS}, a as (select distinct base as parent, url as child from l), u as (select parent as url, 1 as o, 0 as i from a union all select child, 0, 1 from a) select url, cast(sum(o) as bigint) as links, cast(sum(i) as bigint) as referers from u group by url")

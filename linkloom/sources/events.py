@@ -46,9 +46,13 @@ def partitioned(events: DataFrame, n: int, by_host: bool = False) -> DataFrame:
     return events.withColumn("partition_id", hashing.crc_partition(F.col("host"), n) if by_host else hashing.fingerprint_partition(F.col("fingerprint"), n))
 
 
-def per_host(links: DataFrame) -> DataFrame:
-    """Links (host, fingerprint, url) grouped by host, in order of fingerprint; those without host or fingerprint are left out."""
-    return links.where("host is not null and fingerprint is not null").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("fingerprint", "url"))).alias("links"), F.count("*").alias("n"))
+def per_host(links: DataFrame, most: int = 10_000) -> DataFrame:
+    """Links (host, fingerprint, url) grouped by host, in order of fingerprint, as (host, part, links, n); those without host or
+    fingerprint are left out. The links of a host of more than ``most`` are parted by fingerprint (hexadecimal), into about so many each."""
+    links = links.where("host is not null and fingerprint is not null").select("host", "fingerprint", "url")
+    parts = links.groupBy("host").agg(F.ceil(F.count("*") / most).alias("parts"))
+    part = F.pmod(F.conv(F.right("fingerprint", F.lit(8)), 16, 10).cast("bigint"), F.col("parts")).cast("int")
+    return links.join(parts, "host").withColumn("part", part).groupBy("host", "part").agg(F.array_sort(F.collect_list(F.struct("fingerprint", "url"))).alias("links"), F.count("*").alias("n"))
 
 
 def append(messages: DataFrame, path: str) -> None:
