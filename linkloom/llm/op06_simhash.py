@@ -1,32 +1,32 @@
-"""Near-duplicate documents by SimHash, compared bit-sliced.
+"""Near-duplicate documents by SimHash: all pairs within the radius, none left out.
 
 A document's fingerprint has 128 bits, by majority over its distinct words (runs of letters and digits, case folded).
-Documents within ``radius`` bits of each other are near duplicates, and groups are the connected components of that. Equal
+Documents within ``radius`` bits of each other are near duplicates, and classes are the connected components of that. Equal
 fingerprints are collapsed first, so thousands of copies cost as much as one.
 
-Candidates are found on two levels. Fingerprints go to leaves: in each of several coarse tables, those that share the bits
-drawn for the table form a leaf, which one task holds whole. Within a leaf, inner tables, the same in all leaves, order it
-by further bits; each run that shares them is compared. Coarse tables are few, so little is shuffled; inner ones are many
-and cost no shuffle. Both are enough, by the exact chance for bits drawn without replacement, that a pair at the radius is
-found with a chance of ``recall`` (closer pairs with a higher one), however many documents there are: more of them mean more
-tables, never fewer finds. A leaf that holds far more than its share is cut into blocks, and each pair of blocks is a leaf
-of its own. A pair is linked in the first coarse and the first inner table it shares only, so links are counted once.
+Candidates are found by parts. Some of the bits are dealt out to parts, and each part allows so many differing bits that
+allowed + 1, summed over the parts, is radius + 1. A pair beyond what is allowed in every part would differ in more bits than
+the radius, so each pair within it is within what some part allows: fingerprints are ordered by a part's bits, and each cell
+of equal bits is compared with the cells that few enough bits tell apart. How many parts there are, and of how many bits,
+follows from the number of fingerprints; it decides what is compared, never what is found. A pair counts in the first part
+that allows it only, so links are counted once.
 
-A run is compared bit-sliced: fingerprints lie as bit planes, 64 rows to a word, so that one word operation advances 64
-comparisons of row i with row i + d. Differences are counted by carry-save adders in vertical counters, and a word is
-abandoned once all its 64 distances exceed the radius.
+Fingerprints are dealt out to blocks by hash, and a task holds two blocks (or one) and compares them under some or all parts.
+So a task's memory is bounded, whatever cells hold. Shuffle and comparisons grow with the square of the number of
+fingerprints in the end (comparisons with a small factor), as an exact join at such a radius does.
 
 Defined results: a document is a row's doc_id and text. Rows equal in both are one document, of which ``deduplicated`` keeps
-one; rows of equal doc_id and other text are other documents, judged by their texts. In each group the document of least
-doc_id (null last, then least hash of doc_id and text) stays. Texts without letters or digits (null, empty) have no
-duplicates and stay, each of them. Extra columns are ignored, and passed through by ``deduplicated``.
+one and ``classes`` gives one row; rows of equal doc_id and other text are other documents, judged by their texts. In each
+class the document of least doc_id (null last, then least hash of doc_id and text) stays. Texts without letters or digits
+(null, empty) have no duplicates and stay, each of them. Extra columns are ignored, and passed through by ``deduplicated``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, comb, inf, log, log1p, log2
+from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,50 +38,56 @@ from linkloom.llm.components import components, local
 from linkloom.llm.storage import kept, row_key
 
 WIDTH = 128
-_SPREAD = "key long, cell int, cells int, rep long, hi long, lo long"
+_SPREAD = "cell long, rep long, hi long, lo long"
 
 
 @dataclass(frozen=True)
 class Rules:
-    """radius: most differing bits of near duplicates. recall: least chance of a pair at the radius to be found. leaf: most
-    fingerprints of a leaf, on average."""
+    """radius: most differing bits of near duplicates. block: most fingerprints of a block, of which a task holds two."""
 
     radius: int = 24
-    recall: float = 0.99
-    leaf: int = 1 << 19
+    block: int = 1 << 20
     seed: int = 7
 
-    def needed(self, bits: int) -> float:
-        """How many tables of ``bits`` key bits bring a pair at the radius together, with the root of ``recall``."""
-        shared = comb(max(WIDTH - self.radius, 0), bits) / comb(WIDTH, bits)
-        missed = 1 - self.recall**0.5
-        return 1 if shared >= 1 - missed else ceil(log(missed) / log1p(-shared)) if shared > 1e-3 else inf
-
 
 @dataclass(frozen=True)
-class Tables:
-    """coarse, inner: which bits each table shares (tables x bits). leaf: fingerprints of a leaf, on average."""
+class Parts:
+    """bits: those of each part. allowed: how many of them may differ. blocks: into how many the fingerprints are dealt out.
+    groups: over how many tasks the parts of two blocks are spread."""
 
-    coarse: np.ndarray
-    inner: np.ndarray
-    leaf: int
+    bits: list[np.ndarray]
+    allowed: list[int]
+    blocks: int
+    groups: int
 
     @classmethod
-    def sized(cls, n: int, rules: Rules) -> Tables:
-        """For n distinct fingerprints: leaves small enough for many tasks, and the inner tables of least cost."""
-        room = min(rules.leaf, max(1 << 13, n // 64))
-        bits = max(0, ceil(log2(max(n, 1) / room)))
-        while rules.needed(bits) == inf:  # hardly any pair at a wide radius shares so many bits
-            bits -= 1
-        leaf = ceil(n / 2**bits)
-        inner = min(range(17), key=lambda b: rules.needed(b) * (30 + leaf / 2**b))  # a row costs as much as 30 comparisons
-        picks = np.random.default_rng(rules.seed)
-        coarse, inner = (np.stack([picks.choice(WIDTH, b, replace=False) for _ in range(int(rules.needed(b)))]) for b in (bits, inner))
-        return cls(coarse, inner, max(leaf, 1))
-
-
-def masks(picks: np.ndarray) -> np.ndarray:
-    """The bits of each table as two words."""
+    def sized(cls, n: int, rules: Rules) -> Parts:
+        """For n distinct fingerprints: the parts of least cost."""
+        blocks = max(ceil(n / rules.block), 2 if n > 1 << 17 else 1)
+        rows = n / blocks
+
+        def cut(count: int, most: int) -> list[tuple[int, int]]:
+            """Bits and allowed differences of each part."""
+            free = rules.radius + 1 - count
+            return [(min(most, WIDTH // count + (k < WIDTH % count)), free // count + (k < free % count)) for k in range(count)]
+
+        def cost(parts: list[tuple[int, int]]) -> float:
+            """Nanoseconds of two blocks: a pair compared, a cell, a look at another cell. Cells of texts hold twice what those
+            of random bits would."""
+            total = 0.0
+            for wide, free in parts:
+                ball = sum(comb(wide, d) for d in range(min(free, wide) + 1))
+                total += 6 * rows * rows * min(1, 2 * ball / 2**wide) + min(2**wide, rows) * (40_000 + 10 * ball)
+            return total
+
+        chosen = min((cut(count, most) for count in range(1, min(rules.radius + 1, 32) + 1) for most in range(21)), key=cost)
+        ends = np.cumsum([wide for wide, _ in chosen])
+        bits = np.split(np.random.default_rng(rules.seed).permutation(WIDTH)[: ends[-1]], ends[:-1])
+        return cls(bits, [free for _, free in chosen], blocks, min(len(chosen), ceil(48 / (blocks * (blocks + 1) / 2))))
+
+
+def masks(picks: list[np.ndarray]) -> np.ndarray:
+    """The bits of each part as two words."""
     out = np.zeros((len(picks), 2), np.uint64)
     for t, own in enumerate(picks):
         for at in own.tolist():
@@ -118,18 +124,18 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for piece in tx.slices(batch.column(2)):
             found, there = fingerprint(piece)
             key, ids = (batch.column(k).slice(piece.first, piece.count) for k in range(2))
-            signed = found.view(np.int64)
-            yield pa.RecordBatch.from_arrays([key, ids, pa.array(signed[:, 0]), pa.array(signed[:, 1])], ["key", "doc_id", "hi", "lo"]).filter(pa.array(there))
+            hi, lo = (pa.array(x, mask=~there) for x in found.view(np.int64).T)
+            yield pa.RecordBatch.from_arrays([key, ids, hi, lo], ["key", "doc_id", "hi", "lo"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """key (of doc_id and text), doc_id, hi, lo of the rows that have words."""
+    """key (of doc_id and text), doc_id, hi, lo of each row; hi and lo are null where it has no words."""
     own = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(_fingerprints, "key long, doc_id long, hi long, lo long")
 
 
 def keys(hi: np.ndarray, lo: np.ndarray, picks: np.ndarray) -> np.ndarray:
-    """The bits of each fingerprint that a table shares, as a number."""
+    """The bits of each fingerprint that a part has, as a number."""
     words = (hi.view(np.uint64), lo.view(np.uint64))
     key = np.zeros(len(hi), np.uint64)
     for at in picks.tolist():
@@ -137,171 +143,132 @@ def keys(hi: np.ndarray, lo: np.ndarray, picks: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _coarse(hi: np.ndarray, lo: np.ndarray, tables: Tables) -> Iterator[np.ndarray]:
-    for t, own in enumerate(tables.coarse):
-        yield keys(hi, lo, own) | (t << len(own))
-
+def _block(rep: np.ndarray, blocks: int) -> np.ndarray:
+    return (tx.mix(rep.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
 
-def _block(rep: np.ndarray, cells: np.ndarray | int) -> np.ndarray:
-    return (tx.mix(rep.view(np.uint64)) % np.asarray(cells).astype(np.uint64)).astype(np.int64)
 
-
-def _spread(tables: Tables, hot: dict[int, int]):
-    """Each row once for each coarse table; in a leaf of ``hot``, once for each block that its own is paired with."""
+def _spread(parts: Parts):
+    """Each row once for each block that its own is paired with and each group of parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        large = np.array(sorted(hot), np.int64)
-        blocks = np.array([hot[k] for k in sorted(hot)], np.int64)
         for batch in batches:
-            rep, hi, lo = (batch.column(k).to_numpy() for k in range(3))
-            for key in _coarse(hi, lo, tables) if len(hi) else ():
-                row = np.arange(len(key))
-                cell = cells = np.zeros(len(key), np.int64)
-                if len(large):
-                    at = np.minimum(np.searchsorted(large, key), len(large) - 1)
-                    cells = np.where(large[at] == key, blocks[at], 0)
-                    times = np.maximum(cells, 1)
-                    row, other = np.repeat(row, times), tx.ragged(np.zeros(len(times), np.int64), times)
-                    cells = cells[row]
-                    own = _block(rep[row], np.maximum(cells, 1))
-                    cell = np.minimum(own, other) * cells + np.maximum(own, other)
-                yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(cell, pa.int32()), pa.array(cells, pa.int32()), *(c.take(pa.array(row)) for c in batch.columns)], [x.split()[0] for x in _SPREAD.split(", ")])
+            own = _block(batch.column(0).to_numpy(), parts.blocks)
+            for other in range(parts.blocks):
+                cell = (np.minimum(own, other) * parts.blocks + np.maximum(own, other)) * parts.groups
+                for group in range(parts.groups):
+                    yield pa.RecordBatch.from_arrays([pa.array(cell + group), *batch.columns], [x.split()[0] for x in _SPREAD.split(", ")])
 
     return run
 
 
-def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Carry-save adder: sum and carry of three bits in each lane."""
-    half = a ^ b
-    return half ^ c, (a & b) | (half & c)
-
+def _within(a: np.ndarray, b: np.ndarray, radius: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a row of a and one of b (each two words by rows) within ``radius`` bits, ``block`` pairs at a time or so."""
+    for left in range(0, b.shape[1], block):
+        hi, lo = b[:, left : left + block]
+        step = max(1, block // len(hi))
+        for top in range(0, a.shape[1], step):
+            far = np.bitwise_count(a[0, top : top + step, None] ^ hi)
+            far += np.bitwise_count(a[1, top : top + step, None] ^ lo)
+            at = np.flatnonzero(far <= radius)
+            if len(at):
+                yield top + at // len(hi), left + at % len(hi)
 
-def _beyond(counter: list[np.ndarray], radius: int) -> np.ndarray:
-    """Lanes whose vertical counter (least bit first) exceeds ``radius``."""
-    more, same = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
-    for k in reversed(range(len(counter))):
-        if radius >> k & 1:
-            same = same & counter[k]
-        else:
-            more = more | (same & counter[k])
-            same = same & ~counter[k]
-    return more
 
-
-def close(hi: np.ndarray, lo: np.ndarray, ends: np.ndarray, radius: int, block: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close(hi: np.ndarray, lo: np.ndarray, ends: np.ndarray, radius: int, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs i < j < ends[i] of fingerprints within ``radius`` bits, some at a time; ends[i] is where the run of row i ends."""
-    n = len(hi)
-    raw = np.stack([hi, lo], axis=1).astype(np.int64).view(np.uint8).reshape(n, WIDTH // 8)
-    reach = int((ends - np.arange(n)).max(initial=1))
-    words = (n + 63) // 64
-    planes = np.zeros((WIDTH, (words + reach // 64 + 2) * 8), np.uint8)
-    planes[:, : (n + 7) // 8] = np.packbits(np.unpackbits(raw, axis=1).T, axis=1, bitorder="little")
-    planes = planes.view(np.uint64)
-    left = np.zeros(words * 64, np.int64)
-    left[:n] = ends - np.arange(n) - 1
-    left = left.reshape(words, 64)  # row i has partners at distances 1..left
-    most = left.max(axis=1)
-    starts = np.concatenate(([0], np.cumsum(most)))
-    total = int(starts[-1])
-    for begin in range(0, total, block):
-        task = np.arange(begin, min(total, begin + block))
-        word = np.searchsorted(starts, task, "right") - 1
-        step = task - starts[word] + 1
-        alive = np.packbits(left[word] >= step[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-        other, shift = word + step // 64, (step % 64).astype(np.uint64)
-        back = np.uint64(63) - shift
-        counter = [np.zeros(len(task), np.uint64) for _ in range(8)]
-        for p in range(0, WIDTH, 8):
-            x = [planes[q][word] ^ ((planes[q][other] >> shift) | ((planes[q][other + 1] << back) << np.uint64(1))) for q in range(p, p + 8)]
-            ones, twos, fours = counter[:3]
-            ones, two_a = _add(ones, x[0], x[1])
-            ones, two_b = _add(ones, x[2], x[3])
-            twos, four_a = _add(twos, two_a, two_b)
-            ones, two_a = _add(ones, x[4], x[5])
-            ones, two_b = _add(ones, x[6], x[7])
-            twos, four_b = _add(twos, two_a, two_b)
-            fours, carry = _add(fours, four_a, four_b)
-            counter[:3] = ones, twos, fours
-            for k in range(3, 8):
-                counter[k], carry = counter[k] ^ carry, counter[k] & carry
-            if p + 8 > radius and (p % 16 == 8 or p + 8 == WIDTH):
-                alive &= ~_beyond(counter, radius)
-                stay = np.flatnonzero(alive)
-                if len(stay) == 0:
-                    word = stay
-                    break
-                if len(stay) < 0.8 * len(alive):
-                    word, step, alive, other, shift, back = (y[stay] for y in (word, step, alive, other, shift, back))
-                    counter = [c[stay] for c in counter]
-        if len(word):
-            at, lane = np.nonzero(np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            yield word[at] * 64 + lane, word[at] * 64 + lane + step[at]
-
-
-def _shares(hi: np.ndarray, lo: np.ndarray, i: np.ndarray, j: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Whether fingerprints i and j share the bits of any of ``tables`` (masks), for each pair."""
-    found = np.zeros(len(i), bool)
-    left = np.arange(len(i))
-    x, y = (hi[i] ^ hi[j]).view(np.uint64), (lo[i] ^ lo[j]).view(np.uint64)
-    for k in range(0, len(tables), 16):
-        for a, b in tables[k : k + 16]:
-            found[left] |= ((x & a) | (y & b)) == 0
-        stay = ~found[left]
-        left, x, y = left[stay], x[stay], y[stay]
-        if len(left) == 0:
-            break
-    return found
-
-
-def linked(rep: np.ndarray, hi: np.ndarray, lo: np.ndarray, block: np.ndarray | None, table: int, tables: Tables, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The leaf's stars (every node that isn't the least of its component in the leaf, and that least), and how many links
-    each row has here. block: given for a leaf of two blocks, of which only pairs between them count."""
-    n = len(rep)
-    coarse, inner = masks(tables.coarse[:table]), masks(tables.inner)
-    counts = np.zeros(n, np.int64)
+    words = np.stack([hi, lo]).view(np.uint64)
+    begin = 0
+    while begin < len(hi):
+        end = int(ends[begin])
+        step = max(1, min(end - begin, max(64, block // (end - begin))))
+        for top in range(begin, end if end - begin > 1 else begin, step):
+            for i, j in _within(words[:, top : min(end, top + step)], words[:, top:end], radius, block):
+                later = i < j
+                yield top + i[later], top + j[later]
+        begin = end
+
+
+def across(a: np.ndarray, a_key: np.ndarray, b: np.ndarray, b_key: np.ndarray, wide: int, allowed: int, radius: int, own: bool, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a row of a and one of b within ``radius`` bits whose keys of ``wide`` bits, in order, differ in ``allowed``
+    bits at most; if a and b are one (own), those of which b's key is the larger."""
+    masks = np.array([sum(1 << at for at in some) for d in range(min(allowed, wide) + 1) for some in combinations(range(wide), d)], np.int64)
+    starts = np.searchsorted(b_key, np.arange((1 << wide) + 1))
+    begins = tx.runs(a_key)
+    ends = np.append(begins[1:], len(a_key))
+    for first in range(0, len(begins), max(1, (1 << 18) // len(masks))):
+        some = slice(first, first + max(1, (1 << 18) // len(masks)))
+        cells = a_key[begins[some], None]
+        near = cells ^ masks
+        sizes = starts[near + 1] - starts[near]
+        if own:
+            sizes[near <= cells] = 0
+        edges = np.append(0, np.cumsum(sizes.sum(axis=1)))
+        low = 0
+        while low < len(cells):  # cells whose neighbours are looked up at once
+            high = max(low + 1, int(np.searchsorted(edges, edges[low] + (1 << 18), "right")) - 1)
+            at = tx.ragged(starts[near[low:high]].ravel(), sizes[low:high].ravel())
+            found = b.take(at, axis=1)
+            for k in range(low, high):
+                left, right = edges[k] - edges[low], edges[k + 1] - edges[low]
+                if left < right:
+                    begin = begins[first + k]
+                    for i, j in _within(a[:, begin : ends[first + k]], found[:, left:right], radius, block):
+                        yield begin + i, at[left + j]
+            low = high
+
+
+def linked(rep: np.ndarray, hi: np.ndarray, lo: np.ndarray, block: np.ndarray | None, some: range, parts: Parts, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of what ``some`` of the parts are the first to allow: the stars (every node that isn't the least of its component
+    here, and that least), and how many links each row has. block: which of two each row is in, if pairs between them count
+    and not those within."""
+    words = np.stack([hi, lo]).view(np.uint64)
+    counts = np.zeros(len(rep), np.int64)
     stars: list[tuple[np.ndarray, np.ndarray]] = []
-    bits = np.unpackbits(np.stack([hi, lo], axis=1).view(np.uint8).reshape(n, 16), axis=1, bitorder="little").T.copy()
-
-    def settle(pairs: Iterator[tuple[np.ndarray, np.ndarray]], order: np.ndarray, table: int, whole: bool = False) -> None:
-        for i, j in pairs:
-            i, j = order[i], order[j]
-            if block is not None:
-                apart = block[i] != block[j]
-                i, j = i[apart], j[apart]
-            fresh = _shares(hi, lo, i, j, inner) if whole else ~_shares(hi, lo, i, j, inner[:table])
-            i, j = i[fresh], j[fresh]
-            fresh = ~_shares(hi, lo, i, j, coarse)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    bits = masks(parts.bits)
+
+    def settle(part: int) -> None:
+        if not waiting:
+            return
+        i, j = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
+        for q in range(part):
+            x, y = (words[k, i] ^ words[k, j] for k in range(2))
+            fresh = np.bitwise_count(x & bits[q, 0]) + np.bitwise_count(y & bits[q, 1]) > parts.allowed[q]
             i, j = i[fresh], j[fresh]
-            if len(i):
-                np.add.at(counts, i, 1)
-                np.add.at(counts, j, 1)
-                stars.append(local(i, j))
-                if sum(len(a) for a, _ in stars) > 1 << 20:
-                    stars[:] = [local(*(np.concatenate(x) for x in zip(*stars)))]
-
-    for u, own in enumerate(tables.inner):
-        key = np.zeros(n, np.uint16)
-        for at in own.tolist():
-            key = (key << np.uint16(1)) | bits[at]
-        order = np.argsort(key, kind="stable")
-        sizes = np.diff(np.append(tx.runs(key[order]), n))
-        if u == 0 and (sizes.astype(float) ** 2).sum() * len(tables.inner) > float(n) ** 2:
-            settle(close(hi, lo, np.full(n, n), radius), np.arange(n), 0, whole=True)  # all pairs once are less work
-            break
-        several = np.repeat(sizes > 1, sizes)
-        order, sizes = order[several], sizes[sizes > 1]
-        settle(close(hi[order], lo[order], np.repeat(np.cumsum(sizes), sizes), radius), order, u)
+        if len(i):
+            counts[:] += np.bincount(i, minlength=len(rep)) + np.bincount(j, minlength=len(rep))
+            stars.append(local(i, j))
+            if sum(len(a) for a, _ in stars) > 1 << 20:
+                stars[:] = [local(*(np.concatenate(x) for x in zip(*stars)))]
+
+    for part in some:
+        key = keys(hi, lo, parts.bits[part])
+        wide, allowed = len(parts.bits[part]), parts.allowed[part]
+        sides = [np.flatnonzero(block == k) for k in range(2)] if block is not None else [np.arange(len(rep))]
+        orders = [own[np.argsort(key[own], kind="stable")] for own in sides]
+        a, b = orders[0], orders[-1]
+        pairs = [across(words[:, a], key[a], words[:, b], key[b], wide, allowed, radius, own=block is None)]
+        if block is None:
+            pairs.append(close(hi[a], lo[a], np.searchsorted(key[a], key[a], "right"), radius))
+        held = 0
+        for i, j in (x for found in pairs for x in found):
+            waiting.append((a[i], b[j]))
+            held += len(i)
+            if held > 1 << 18 or len(waiting) > 1 << 14:
+                settle(part)
+                held = 0
+        settle(part)
     a, b = local(*(np.concatenate(x) for x in zip(*stars))) if stars else (np.zeros(0, np.int64),) * 2
     return rep[a], rep[b], counts
 
 
-def _compare(tables: Tables, rules: Rules):
-    def leaf(table: pa.Table) -> pa.RecordBatch:
-        cells = table.column(2)[0].as_py()
-        rep, hi, lo = (table.column(k).to_numpy() for k in (3, 4, 5))
-        cell = table.column(1)[0].as_py()
-        block = _block(rep, cells) if cells and cell // cells != cell % cells else None
-        a, b, counts = linked(rep, hi, lo, block, table.column(0)[0].as_py() >> tables.coarse.shape[1], tables, rules.radius)
+def _compare(parts: Parts, rules: Rules):
+    def one(table: pa.Table) -> pa.RecordBatch:
+        cell, group = divmod(table.column(0)[0].as_py(), parts.groups)
+        rep, hi, lo = (table.column(k).to_numpy() for k in (1, 2, 3))
+        block = (_block(rep, parts.blocks) == cell % parts.blocks).astype(np.int64) if cell // parts.blocks != cell % parts.blocks else None
+        a, b, counts = linked(rep, hi, lo, block, range(group, len(parts.bits), parts.groups), parts, rules.radius)
         some = np.flatnonzero(counts)
         none = pa.nulls(len(some), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, rep[some]])), pa.concat_arrays([pa.array(b, pa.int64()), none]), pa.array(np.concatenate([np.zeros(len(a), np.int64), counts[some]]))], ["a", "b", "links"])
@@ -309,54 +276,36 @@ def _compare(tables: Tables, rules: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
-        for batch in batches:  # sorted by key and cell
+        for batch in batches:  # sorted by cell
             if batch.num_rows:
-                mark = np.stack([batch.column(k).to_numpy() for k in range(2)], axis=1)
-                cuts = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(axis=1)) + 1).tolist(), len(mark)]
+                mark = batch.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(mark[1:] != mark[:-1]) + 1).tolist(), len(mark)]
                 for begin, end in zip(cuts, cuts[1:]):
-                    if held and tuple(mark[begin]) != last:
-                        yield leaf(pa.Table.from_batches(held))
+                    if held and mark[begin] != last:
+                        yield one(pa.Table.from_batches(held))
                         held = []
-                    last = tuple(mark[begin])
+                    last = mark[begin]
                     held.append(batch.slice(begin, end - begin))
         if held:
-            yield leaf(pa.Table.from_batches(held))
+            yield one(pa.Table.from_batches(held))
 
     return run
 
 
-def _hot(reps: DataFrame, n: int, tables: Tables) -> dict[int, int]:
-    """Leaves of more than four times their share, and in how many blocks each is cut; by counts of every k-th fingerprint
-    by hash. They decide where fingerprints are compared, never what is found."""
-    every = max(1, tables.leaf // 256)
-    some = reps.where(F.pmod(F.xxhash64("lo", "hi"), F.lit(every)) == 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hi, lo = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for key in _coarse(hi, lo, tables) if len(hi) else ():
-                yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
-
-    if n <= tables.leaf * 4:
-        return {}
-    large = some.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") * every > 4 * tables.leaf).collect()
-    return {r["key"]: ceil(r["count"] * every / tables.leaf) for r in large}
-
-
-def near(reps: DataFrame, n: int, rules: Rules, tables: Tables | None = None) -> DataFrame:
-    """Of n fingerprints (rep, hi, lo; distinct): edges a, b between those within the radius, as stars of each leaf's
-    components, and rows of a and no b with how many links a has in a leaf."""
-    tables = tables or Tables.sized(n, rules)
-    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(n * len(tables.coarse) / (1 << 18)))
-    spread = reps.mapInArrow(_spread(tables, _hot(reps, n, tables)), _SPREAD)
-    return spread.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compare(tables, rules), "a long, b long, links long")
+def near(reps: DataFrame, n: int, rules: Rules, parts: Parts | None = None) -> DataFrame:
+    """Of n fingerprints (rep, hi, lo; distinct): edges a, b between those within the radius, as stars of each task's
+    components, and rows of a and no b with how many links a has in a task."""
+    parts = parts or Parts.sized(n, rules)
+    tasks = min(parts.blocks**2 * parts.groups, 1 << 15)
+    spread = reps.mapInArrow(_spread(parts), _SPREAD)
+    return spread.repartitionById(tasks, (F.col("cell") % tasks).cast("int")).sortWithinPartitions("cell").mapInArrow(_compare(parts, rules), "a long, b long, links long")
 
 
 def _classes(docs: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints (key, doc_id, hi, lo), and those with a near copy or copies: hi, lo, head (doc_id, key), links."""
+    """All rows' fingerprints (key, doc_id, hi, lo), and those with a near copy or copies: hi, lo, head (doc_id, key), links."""
     prints = kept(fingerprints(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    reps = kept(prints.groupBy("hi", "lo").agg(first.alias("first"), (F.count("*") > 1).alias("several")).withColumn("rep", F.monotonically_increasing_id()))
+    reps = kept(prints.where("hi is not null").groupBy("hi", "lo").agg(first.alias("first"), (F.count("*") > 1).alias("several")).withColumn("rep", F.monotonically_increasing_id()))
     found = kept(near(reps.select("rep", "hi", "lo"), reps.count(), rules))
     stars = components(found.where("b is not null").select("a", "b"))
     member = stars.select(F.col("a").alias("rep"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("rep"), F.col("b").alias("root")).distinct())
@@ -367,20 +316,29 @@ def _classes(docs: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     return prints, near_.join(heads, "root").select("hi", "lo", "head", "links").unionByName(copies)
 
 
+def classes(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """One row per document: doc_id; class_id, the same for all documents of a class and no others (a hash of the first's
+    doc_id and text); duplicate_of, the first's doc_id (null for the first itself); links, how many other fingerprints lie
+    within the radius of its own (0 where there are none or exact copies only); keep, whether it is the first."""
+    prints, found = _classes(docs, rules)
+    own = prints.join(found, ["hi", "lo"], "left")
+    first = F.col("head").isNull() | ((F.col("key") == F.col("head.key")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id")))
+    own = own.select("key", "doc_id", F.coalesce("head.key", "key").alias("class_id"), F.when(~first, F.col("head.doc_id")).alias("duplicate_of"), F.coalesce("links", F.lit(0)).alias("links"), first.alias("keep"))
+    return own.groupBy("key", "doc_id").agg(*(F.first(c).alias(c) for c in ("class_id", "duplicate_of", "links", "keep"))).drop("key")
+
+
 def duplicates(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row per document that is a copy or near copy of another and isn't its group's first: doc_id, duplicate_of (the
-    first's doc_id), links (how many other fingerprints lie within the radius of its own; 0 where it has exact copies only)."""
-    prints, classes = _classes(docs, rules)
-    own = prints.join(classes, ["hi", "lo"]).where((F.col("key") != F.col("head.key")) | ~F.col("doc_id").eqNullSafe(F.col("head.doc_id")))
-    return own.groupBy("key", "doc_id").agg(F.first("head.doc_id").alias("duplicate_of"), F.first("links").alias("links")).select("doc_id", "duplicate_of", "links")
+    """Of ``classes`` the documents that aren't their class's first: doc_id, duplicate_of, links."""
+    return classes(docs, rules).where("not keep").select("doc_id", "duplicate_of", "links")
 
 
 def deduplicated(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``docs`` with one document of each group, and one row of each document."""
-    prints, classes = _classes(docs, rules)
+    prints, found = _classes(docs, rules)
+    prints = prints.where("hi is not null")
     names = docs.columns
     key, doc = (f"{x}_{'_'.join(names)}" for x in ("key", "doc"))  # names that no column has
-    gone = prints.join(classes, ["hi", "lo"]).where((F.col("key") != F.col("head.key")) | ~F.col("doc_id").eqNullSafe(F.col("head.doc_id")))
+    gone = prints.join(found, ["hi", "lo"]).where((F.col("key") != F.col("head.key")) | ~F.col("doc_id").eqNullSafe(F.col("head.doc_id")))
     gone = gone.select(F.col("key").alias(f"{key}_"), F.col("doc_id").alias(doc)).distinct()
     some = kept(prints.groupBy("key", "doc_id").count().where("count > 1").select(F.col("key").alias(f"{key}_"), F.col("doc_id").alias(doc)))
     own = docs.withColumn(key, row_key(docs))

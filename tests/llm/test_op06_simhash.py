@@ -1,4 +1,4 @@
-import math
+import dataclasses
 import random
 
 import numpy as np
@@ -101,9 +101,9 @@ def _pairs(n, radius, seed):
     return np.packbits(np.concatenate([raw, other]), axis=1).view(np.int64).T.copy()
 
 
-def _found(spark, hi, lo, rules, tables):
+def _found(spark, hi, lo, rules, parts=None):
     reps = spark.createDataFrame([(k, int(x), int(y)) for k, (x, y) in enumerate(zip(hi, lo))], "rep long, hi long, lo long")
-    rows = op.near(reps, len(hi), rules, tables).collect()
+    rows = op.near(reps, len(hi), rules, parts).collect() if parts else op.near(reps, len(hi), rules).collect()
     links = np.zeros(len(hi), np.int64)
     for r in rows:
         if r.b is None:
@@ -111,43 +111,61 @@ def _found(spark, hi, lo, rules, tables):
     return {(r.a, r.b) for r in rows if r.b is not None}, links
 
 
+def test_no_pair_at_the_radius_is_left_out(spark):
+    hi, lo = _pairs(1500, op.Rules().radius, 5)
+    far = distances(hi, lo)
+    _, links = _found(spark, hi, lo, op.Rules())
+    assert links.tolist() == ((far <= op.Rules().radius).sum(axis=1) - 1).tolist()
+
+
 @pytest.mark.parametrize("n", [10**4, 10**7, 10**9])
-def test_recall_at_the_radius_with_the_tables_of_many_documents(spark, n):
-    """Pairs at exactly the radius, none of them exact copies, with the tables that n fingerprints get."""
+def test_all_pairs_at_the_radius_with_the_parts_of_many_documents(spark, n):
+    """Pairs at exactly the radius, none of them exact copies, with the parts that n fingerprints get; in three blocks at most."""
     rules = op.Rules()
     hi, lo = _pairs(400, rules.radius, n % 97)
     far = distances(hi, lo)
     want = {(int(b), int(a)) for a, b in np.argwhere(np.triu(far <= rules.radius, 1))}
     assert len(want) >= 400
-    got, links = _found(spark, hi, lo, rules, op.Tables.sized(n, rules))
-    assert got <= want and len(got) >= 0.98 * len(want)  # 0.99 less what chance takes of 400 pairs
-    assert links.sum() == 2 * len(got)
+    parts = op.Parts.sized(n, rules)
+    got, links = _found(spark, hi, lo, rules, dataclasses.replace(parts, blocks=min(parts.blocks, 3), groups=min(len(parts.bits), 2)))
+    assert got == want and links.sum() == 2 * len(got)
 
 
-def test_hot_leaves_are_cut_into_blocks_and_lose_no_link(spark):
+@pytest.mark.parametrize("n", [1500, 10**6])
+def test_many_fingerprints_near_each_other_lose_no_link(spark, n):
     """A third of all fingerprints lie within a few bits of each other."""
     rng = np.random.default_rng(3)
     raw = rng.integers(0, 2, (1500, op.WIDTH), np.uint8)
     raw[:500] = raw[0] ^ (rng.random((500, op.WIDTH)) < 0.05)
     hi, lo = np.packbits(np.unique(raw, axis=0), axis=1).view(np.int64).T.copy()
-    rules = op.Rules(leaf=64)
+    rules = op.Rules(block=400)
     far = distances(hi, lo)
-    near = (far <= rules.radius) & ~np.eye(len(hi), dtype=bool)
-    tables = op.Tables.sized(1500, rules)
-    assert tables.coarse.shape[1] >= 4
-    reps = spark.createDataFrame([(k, int(x), int(y)) for k, (x, y) in enumerate(zip(hi, lo))], "rep long, hi long, lo long")
-    assert max(op._hot(reps, len(hi), tables).values()) > 4
-    _, links = _found(spark, hi, lo, rules, tables)
-    want = near.sum(axis=1)
-    assert (links <= want).all() and links.sum() >= 0.99 * want.sum() > 0
+    parts = dataclasses.replace(op.Parts.sized(n, rules), blocks=op.Parts.sized(1500, rules).blocks)
+    assert parts.blocks == 4
+    _, links = _found(spark, hi, lo, rules, parts)
+    want = (far <= rules.radius).sum(axis=1) - 1
+    assert links.tolist() == want.tolist() and want.max() > 200
 
 
-def test_tables_find_pairs_at_the_radius_whatever_the_number_of_documents():
-    for rules in (op.Rules(), op.Rules(leaf=1 << 22), op.Rules(radius=3), op.Rules(radius=0), op.Rules(radius=120), op.Rules(radius=op.WIDTH)):
+def test_parts_allow_every_pair_within_the_radius_whatever_the_number_of_documents():
+    """Beyond what each part allows, a pair differs in more bits than the radius, since no bit is in two parts."""
+    for rules in (op.Rules(), op.Rules(block=1 << 22), op.Rules(radius=3), op.Rules(radius=0), op.Rules(radius=120), op.Rules(radius=op.WIDTH)):
         for n in (0, 1, 10**6, 12 * 10**6, 10**9, 5 * 10**10):
-            own = op.Tables.sized(n, rules)
-            chance = 1.0
-            for picks in (own.coarse, own.inner):
-                shared = math.comb(max(op.WIDTH - rules.radius, 0), picks.shape[1]) / math.comb(op.WIDTH, picks.shape[1])
-                chance *= 1 if shared == 1 else 1 - math.exp(len(picks) * math.log1p(-shared))
-            assert chance >= rules.recall - 1e-9
+            own = op.Parts.sized(n, rules)
+            assert len(set(np.concatenate(own.bits).tolist())) == sum(len(b) for b in own.bits) <= op.WIDTH
+            assert min(own.allowed) >= 0 and sum(k + 1 for k in own.allowed) > rules.radius
+            assert own.blocks * rules.block >= n and 1 <= own.groups <= len(own.bits) == len(own.allowed)
+
+
+def test_one_row_of_each_document_with_its_class_and_links(spark):
+    a, b = prose(1, 120), prose(2, 150)
+    docs = [(1, a), (1, b), (1, a), (2, a + " more"), (None, b), (None, a), (3, "..."), (4, None), (5, prose(3, 90))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = op.classes(df).collect()
+    assert len(got) == 8  # of the two rows alike, one
+    groups = {}
+    for r in got:
+        groups.setdefault(r.class_id, []).append((r.doc_id or 0, r.duplicate_of, r.links, r.keep))
+    assert sorted(map(sorted, groups.values()), key=str) == sorted(
+        [[(0, 1, 1, False), (1, None, 1, True), (2, 1, 1, False)], [(0, 1, 0, False), (1, None, 0, True)], [(3, None, 0, True)], [(4, None, 0, True)], [(5, None, 0, True)]], key=str
+    )
