@@ -1,4 +1,5 @@
 import dataclasses
+import math
 import random
 
 import numpy as np
@@ -157,6 +158,12 @@ def test_parts_allow_every_pair_within_the_radius_whatever_the_number_of_documen
             assert own.blocks * rules.block >= n and 1 <= own.groups <= len(own.bits) == len(own.allowed)
 
 
+def test_few_of_all_pairs_are_compared_at_6_gb():
+    own = op.Parts.sized(2_830_123, op.Rules())
+    share = sum(sum(math.comb(len(b), d) for d in range(k + 1)) / 2 ** len(b) for b, k in zip(own.bits, own.allowed))
+    assert share < 0.02  # of random bits
+
+
 def test_one_row_of_each_document_with_its_class_and_links(spark):
     a, b = prose(1, 120), prose(2, 150)
     docs = [(1, a), (1, b), (1, a), (2, a + " more"), (None, b), (None, a), (3, "..."), (4, None), (5, prose(3, 90))]
