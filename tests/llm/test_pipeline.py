@@ -1,4 +1,5 @@
 import os
+import random
 
 import corpus_pipeline
 from tests.llm.helpers import WORDS, edge_rows, prose
@@ -48,6 +49,15 @@ def test_run_gives_the_last_stage(spark, tmp_path):
     assert last.endswith("-packing") and last in os.listdir(folder) and not [x for x in os.listdir(folder) if x.endswith("-passages")]
 
 
+def test_a_near_copy_among_many_documents_goes(spark, tmp_path):
+    """Its fingerprint is 22 bits from its original's; random tables left the pair out."""
+    pick = random.Random(1372)
+    docs = [(k, prose(k, 60), "en", "s", 1) for k in range(2000)]
+    docs.append((9000, " ".join(f"w{pick.random():.6f}" if pick.random() < 0.13 else w for w in docs[1372][1].split()), "en", "s", 1))
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, SCHEMA), str(tmp_path)).collect()}
+    assert 1372 in left and 9000 not in left
+
+
 def test_edges(spark, tmp_path):
     for rows in (edge_rows(), []):
         at = tmp_path / str(len(rows))
